@@ -164,44 +164,46 @@ def _triggers(html: Column) -> Column:
     return F.transform(flags, lambda x, i: x | ((i == 0) & html.rlike(SLOT)))
 
 
+def _stage(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``df`` with new columns that are worked out once: filters and projections above don't pull them apart."""
+    return df.select(*keep, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_x")).select(*keep, "_x.*")
+
+
 def inspect(rows: DataFrame, html: str = "html", every: bool = False) -> DataFrame:
-    """row_id with ``placeholder``, ``filler``, ``error`` and ``scripts`` (booleans) of each suspicious row, or every row, with html."""
-    df = rows.where(F.col(html).isNotNull()).select("row_id", _unscripted(F.col(html)).alias("h"))
-    df = df.withColumn("may", F.array(*[F.lit(True)] * 4) if every else _triggers(F.col("h"))).where(F.array_contains("may", True))
-    df = df.select("may", "row_id", F.regexp_replace("h", r"(?is)<!--.*$|<(?:script|style|template|svg|iframe|object)\b.*$", " ").alias("h"))
+    """row_id with ``placeholder``, ``filler``, ``error`` and ``scripts`` (booleans) of each row with residue (or, if ``every``, with html)."""
+    df = rows.where(F.col(html).isNotNull()).select("row_id", F.col(html).alias("html"))
+    all_kinds = F.array(*[F.lit(True)] * len(TRIGGERS))
+    look = F.transform(F.array(_unscripted(F.col("html"))), lambda h: F.struct(h.alias("h"), (all_kinds if every else _triggers(h)).alias("may")))
+    df = df.select("row_id", F.explode(F.filter(look, lambda x: F.array_contains(x["may"], True))).alias("x")).select("row_id", "x.*")
+    may = dict(zip(TRIGGERS, (F.col("may")[i] for i in range(len(TRIGGERS)))))
+    h = F.regexp_replace("h", r"(?is)<!--.*$|<(?:script|style|template|svg|iframe|object)\b.*$", " ")
     notice = F.array_join(F.regexp_extract_all("h", F.lit(r"(?is)<noscript\b[^>]*>(.*?)</noscript\s*>"), 1), "\n")
-    may = dict(zip(TRIGGERS, (F.col("may")[i] for i in range(4))))
-    df = df.select("may", "row_id", _cut(F.col("h"), "noscript").alias("h"), _text(notice).alias("notice"))
+    df = _stage(df, ["row_id", "may"], notice=notice, h=_cut(h, "noscript"))
     shown = F.when(may["placeholder"], _text(_cut(F.col("h"), "code|pre|kbd|samp|xmp|textarea|listing")))
     content = _text(_cut(F.regexp_replace(F.col("h"), r"(?is)<a\b[^>]*>.*?</a\s*>", " "), "title|nav|footer|button|select|option|label"))
     judged = may["filler"] | may["error"] | may["scripts"]
-    df = df.select("may", "row_id", "notice", shown.rlike(PLACEHOLDER).alias("placeholder"), F.when(judged, _sentences(content)).alias("sentences"))
+    df = _stage(df, ["row_id", "may", "notice"], placeholder=F.coalesce(shown.rlike(PLACEHOLDER), F.lit(False)), sentences=F.when(judged, _sentences(content)))
     filler = lambda s: may["filler"] & _is_filler(s) & ~s.rlike(TALK)
     error = lambda s: may["error"] & _is_error(s) & ~s.rlike(TALK)
     script = lambda s: may["scripts"] & s.rlike(SCRIPTS) & ~s.rlike(TALK)
     # of each sentence that isn't a stock phrase: its letters, and whether it is of a kind; short headings count only if they are
     judge = lambda s: F.struct(_letters(s).alias("n"), filler(s).alias("f"), error(s).alias("e"), script(s).alias("j"), (F.size(F.split(s, r"\s+")) <= 2).alias("short"))
-    df = df.withColumn("said", F.transform(F.filter("sentences", lambda s: ~s.rlike(STOCK)), judge))
-    df = df.withColumn("said", F.filter("said", lambda x: ~x["short"] | x["f"] | x["e"] | x["j"]))
+    said = F.transform(F.filter("sentences", lambda s: ~s.rlike(STOCK)), judge)
+    df = _stage(df, ["row_id", "may", "notice", "placeholder"], said=F.filter(said, lambda x: ~x["short"] | x["f"] | x["e"] | x["j"]))
     zero = F.struct(*[F.lit(0).alias(k) for k in ("n", "f", "e", "j")])
     part = lambda x, k: F.when(x[k], x["n"]).otherwise(F.lit(0))
     mass = F.aggregate("said", zero, lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), *[(a[k] + part(x, k)).alias(k) for k in ("f", "e", "j")]))
-    df = df.select("may", "row_id", "notice", "placeholder", F.size("said").alias("size"), mass.alias("m"))
+    df = _stage(df, ["row_id", "may", "notice", "placeholder"], n_said=F.size("said"), m=mass)
     dense = lambda k: F.coalesce((F.col("m")[k] > 0) & (F.col("m")[k] * 2 >= F.col("m")["n"]), F.lit(False))
-    asked = F.exists(_sentences(F.col("notice")), lambda s: (s.rlike(SCRIPTS) | s.rlike(r"(?i)supports? scripts|is off\b")) & ~s.rlike(TALK))
-    shell = F.when(may["scripts"] & (F.col("size") == 0), asked).otherwise(F.lit(False))
-    return df.select(
-        "row_id",
-        F.coalesce("placeholder", F.lit(False)).alias("placeholder"),
-        dense("f").alias("filler"),
-        dense("e").alias("error"),
-        (dense("j") | shell).alias("scripts"),
-    )
+    asked = F.exists(_sentences(_text(F.col("notice"))), lambda s: (s.rlike(SCRIPTS) | s.rlike(r"(?i)supports? scripts|is off\b")) & ~s.rlike(TALK))
+    shell = F.when(may["scripts"] & (F.col("n_said") <= 0), asked).otherwise(F.lit(False))
+    out = _stage(df, ["row_id"], placeholder=F.col("placeholder"), filler=dense("f"), error=dense("e"), scripts=dense("j") | shell)
+    return out if every else out.where("placeholder or filler or error or scripts")
 
 
 def residue(rows: DataFrame) -> DataFrame:
     """(row_id) of the rows that hold no real page."""
-    return inspect(rows).where("placeholder or filler or error or scripts").select("row_id")
+    return inspect(rows).select("row_id")
 
 
 def real_pages(rows: DataFrame) -> DataFrame:
