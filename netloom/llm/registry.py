@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import pages, residue
+from netloom.llm import contributors, mixing, pages, reading, residue, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,9 +21,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": lambda s, d: pages.overlap_pairs(t(s, d, "interim"), t(s, d, "splits")),
         "p2_report": lambda s, d: pages.overlap_report(t(s, d, "interim"), t(s, d, "splits")),
         "p3_found": lambda s, d: residue.residue(t(s, d, "interim")),
-        "p3_kinds": lambda s, d: residue.inspect(t(s, d, "interim")).where("placeholder or filler or error or scripts"),
+        "p3_kinds": lambda s, d: residue.inspect(t(s, d, "interim")),
+        "p5_splits": lambda s, d: contributors.assign(t(s, d, "interim"), t(s, d, "split_targets")).select("row_id", "source", "split"),
+        "p5_report": lambda s, d: contributors.split_report(t(s, d, "interim"), t(s, d, "split_targets")),
         "p6_found": lambda s, d: pages.same_pages(t(s, d, "interim")),
         "p6_collapsed": lambda s, d: pages.collapse(t(s, d, "interim")),
+        "p7_capped": lambda s, d: contributors.capped(t(s, d, "interim")),
+        "p7_report": lambda s, d: contributors.cap_report(t(s, d, "interim")),
+        "p8_ids": lambda s, d: tokens.encode(t(s, d, "documents")),
+        "p8_slices": lambda s, d: tokens.slices(t(s, d, "documents")),
+        "p9_mix": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets")),
+        "p9_report": lambda s, d: mixing.mix_report(t(s, d, "documents"), t(s, d, "mix_targets")),
+        "p10_found": lambda s, d: reading.harder(t(s, d, "documents"), t(s, d, "reading_pairs")),
+        "p10_levels": lambda s, d: reading.levels(t(s, d, "documents")).select("doc_id", "level"),
     }
 
 
