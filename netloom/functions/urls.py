@@ -65,11 +65,11 @@ def query(url: Column) -> Column:
 
 
 def _netloc(url: Column, host: Column) -> Column:
-    p, s = port(url), scheme(url)
+    p, s = F.regexp_replace(port(url), "^0+(?=[0-9])", ""), scheme(url)
     shown = F.when(F.contains(host, F.lit(":")), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
-    default = ((s == "http") & (p.cast("int") == 80)) | ((s == "https") & (p.cast("int") == 443))
+    default = ((s == "http") & (p == "80")) | ((s == "https") & (p == "443"))
     user = userinfo(url)
-    return F.concat(F.when(user != "", F.concat(user, F.lit("@"))).otherwise(""), shown, F.when((p != "") & ~default, F.concat(F.lit(":"), p.cast("int").cast("string"))).otherwise(""))
+    return F.concat(F.when(user != "", F.concat(user, F.lit("@"))).otherwise(""), shown, F.when((p != "") & ~default, F.concat(F.lit(":"), p)).otherwise(""))
 
 
 def normalize_url(url: Column) -> Column:

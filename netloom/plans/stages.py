@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,8 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     packed = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, F.explode(packed).alias("_once")).select(*kept, "_once.*")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, for values that an expression names several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
