@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from netloom.plans.stages import let
+
 #: Public suffixes of more and of one label; a parameter of every function that needs them.
 SUFFIXES = (
     "co.uk", "org.uk", "ac.uk", "gov.uk", "com.br", "com.au", "net.au", "co.jp", "co.in", "co.nz", "com.tr", "com.mx", "com.cn", "co.za", "com.ar", "com.sg",
@@ -100,28 +102,36 @@ def is_ip(host: Column) -> Column:
 
 def split_host(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
     """struct(subdomain, label, suffix) by the longest known suffix; without one the host is the label."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
     longest = max(s.count(".") for s in suffixes) + 1
-    size = F.lit(0)
-    for k in range(1, longest + 1):
-        these = [s for s in suffixes if s.count(".") + 1 == k]
-        if these:
-            size = F.when((n >= k) & F.array_join(F.slice(labels, F.lit(-k), F.lit(k)), ".").isin(these), F.lit(k)).otherwise(size)
-    none = is_ip(host) | (size == 0) | (host == "")
-    start = n - size
-    return F.when(none, F.struct(F.lit("").alias("subdomain"), host.alias("label"), F.lit("").alias("suffix"))).otherwise(
-        F.struct(
-            F.when(start > 1, F.array_join(F.slice(labels, F.lit(1), F.greatest(start - 1, F.lit(0))), ".")).otherwise("").alias("subdomain"),
-            F.when(start >= 1, F.element_at(labels, F.greatest(start, F.lit(1)))).otherwise("").alias("label"),
-            F.array_join(F.slice(labels, start + 1, F.greatest(size, F.lit(1))), ".").alias("suffix"),
+
+    def of(x: Column) -> Column:
+        host, labels = x["host"], x["labels"]
+        n = F.size(labels)
+        size = F.lit(0)
+        for k in range(1, longest + 1):
+            these = [s for s in suffixes if s.count(".") + 1 == k]
+            if these:
+                size = F.when((n >= k) & F.array_join(F.slice(labels, F.lit(-k), F.lit(k)), ".").isin(these), F.lit(k)).otherwise(size)
+        size = F.when(is_ip(host) | (host == ""), F.lit(0)).otherwise(size)
+        return let(size, lambda k: cut(host, labels, n - k, k))
+
+    def cut(host: Column, labels: Column, start: Column, k: Column) -> Column:
+        return F.when(k == 0, F.struct(F.lit("").alias("subdomain"), host.alias("label"), F.lit("").alias("suffix"))).otherwise(
+            F.struct(
+                F.when(start > 1, F.array_join(F.slice(labels, F.lit(1), F.greatest(start - 1, F.lit(0))), ".")).otherwise("").alias("subdomain"),
+                F.when(start >= 1, F.element_at(labels, F.greatest(start, F.lit(1)))).otherwise("").alias("label"),
+                F.array_join(F.slice(labels, start + 1, F.greatest(k, F.lit(1))), ".").alias("suffix"),
+            )
         )
-    )
+
+    return let(F.struct(host.alias("host"), F.split(host, r"\.").alias("labels")), of)
 
 
 def domain_of_host(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
-    p = split_host(host, suffixes)
-    return F.when((p["label"] != "") & (p["suffix"] != ""), F.concat(p["label"], F.lit("."), p["suffix"])).otherwise(host)
+    return let(
+        F.struct(host.alias("host"), split_host(host, suffixes).alias("p")),
+        lambda x: F.when((x["p"]["label"] != "") & (x["p"]["suffix"] != ""), F.concat(x["p"]["label"], F.lit("."), x["p"]["suffix"])).otherwise(x["host"]),
+    )
 
 
 def registered_domain(url: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import urls as U
+from netloom.plans.stages import let, once
 
 
 def _cut(url: Column) -> Column:
@@ -19,7 +20,10 @@ def _cut(url: Column) -> Column:
 
 def list_parts(url: Column) -> Column:
     """struct(host, port, path, query): ASCII lower case, no user, no ``www.``, no final slashes; query with its mark."""
-    s = _cut(url)
+    return let(_cut(url), _list_parts)
+
+
+def _list_parts(s: Column) -> Column:
     a = F.translate(F.regexp_replace(F.regexp_extract(s, r"(?s)^([^/?]*)", 1), r"(?s)^.*@", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rest = F.regexp_replace(s, r"^[^/?]*", "")
     host = F.when(a.startswith("["), F.regexp_extract(a, r"^(\[[^\]]*\]?)", 1)).otherwise(F.regexp_extract(a, r"^([^:]*)", 1))
@@ -31,12 +35,14 @@ def list_parts(url: Column) -> Column:
 
 
 def list_url_key(url: Column) -> Column:
-    p = list_parts(url)
-    return F.concat(p["host"], p["port"], p["path"], p["query"])
+    return let(list_parts(url), lambda p: F.concat(p["host"], p["port"], p["path"], p["query"]))
 
 
 def list_domain_key(url: Column) -> Column:
-    host = list_parts(url)["host"]
+    return let(list_parts(url)["host"], domain_key_of_host)
+
+
+def domain_key_of_host(host: Column) -> Column:
     return F.when(host.rlike(r"^\[.*\]$"), F.regexp_replace(host, r"^\[|\]$", "")).otherwise(U.domain_of_host(host))
 
 
@@ -46,14 +52,12 @@ def path_segments(path: Column, n: int) -> Column:
 
 def private_tenant(host: Column, private: Sequence[str] = U.PRIVATE_SUFFIXES) -> Column:
     """The tenant's site under a private suffix, or the empty text."""
-    site = U.domain_of_host(host, (*U.SUFFIXES, *private))
-    return F.when((site != U.domain_of_host(host)) & ~host.isin(*private), site).otherwise("")
+    return let(U.domain_of_host(host, (*U.SUFFIXES, *private)), lambda site: F.when((site != U.domain_of_host(host)) & ~host.isin(*private), site).otherwise(""))
 
 
 def sub_tenant(host: Column, domain: Column) -> Column:
-    tenant = private_tenant(host)
     child = F.substring_index(F.substring(host, F.lit(1), F.greatest(F.length(host) - F.length(domain) - 1, F.lit(0))), ".", -1)
-    return F.when(tenant != "", tenant).otherwise(F.concat(child, F.lit("."), domain))
+    return let(private_tenant(host), lambda tenant: F.when(tenant != "", tenant).otherwise(F.concat(child, F.lit("."), domain)))
 
 
 def parents(host: Column) -> Column:
@@ -76,7 +80,7 @@ def platform_of(df: DataFrame, platforms: DataFrame, host: str = "host", key: st
 
 def expressions(df: DataFrame, key: str = "row_id", url: str = "url") -> DataFrame:
     """(key, expression): every key under which a list entry may match the address."""
-    p = df.select(key, list_parts(F.col(url)).alias("p"))
+    p = once(df.select(key, url), p=list_parts(F.col(url)))
     segs = F.filter(F.split("p.path", "/"), lambda s: s != "")
     heads = F.transform(F.filter(F.sequence(F.lit(1), F.lit(3)), lambda n: n <= F.size(segs)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(segs, F.lit(1), n), "/")))
     paths = F.concat(F.array(F.lit("")), heads, F.array(F.col("p.path")), F.when(F.col("p.query") != "", F.array(F.concat("p.path", "p.query"))).otherwise(F.array().cast("array<string>")))
@@ -98,12 +102,13 @@ def learn_zones(phishing: DataFrame, candidates: DataFrame, shared: DataFrame, l
     phishing spreads over many paths too ("path"), of others each child with
     phishing is a zone ("child").
     """
-    p = phishing.where("url is not null").select(list_domain_key(F.col("url")).alias("domain"), list_parts(F.col("url")).alias("p"))
+    p = once(phishing.where("url is not null").select("url"), p=list_parts(F.col("url")))
+    p = once(p, domain=domain_key_of_host(F.col("p.host")))
     known = candidates.select("domain", F.lit(True).alias("cand")).unionByName(shared.select("domain", F.lit(False).alias("cand"))).groupBy("domain").agg(F.max("cand").alias("cand"))
     p = p.join(known, "domain").select("domain", "cand", F.col("p.host").alias("host"), path_segments(F.col("p.path"), 2).alias("segs"))
-    below = p.where("host <> domain and endswith(host, concat('.', domain))")
+    below = once(p.where("host <> domain and endswith(host, concat('.', domain))"), site=sub_tenant(F.col("host"), F.col("domain")))
     opens = lambda n, u: _tenant_like(n, u, least, share) | ((n >= whole) if whole else F.lit(False))
-    tenants = below.groupBy("domain", sub_tenant(F.col("host"), F.col("domain")).alias("t")).agg(F.count("*").alias("u")).groupBy("domain").agg(F.count("*").alias("n"), F.sum("u").alias("u"))
+    tenants = below.groupBy("domain", F.col("site").alias("t")).agg(F.count("*").alias("u")).groupBy("domain").agg(F.count("*").alias("n"), F.sum("u").alias("u"))
     tenant_domains = tenants.where(opens(F.col("n"), F.col("u"))).select("domain")
     child = F.substring_index(F.expr("substring(host, 1, length(host) - length(domain) - 1)"), ".", -1)
     children = below.where("cand").groupBy("domain", child.alias("child")).agg(F.count("*").alias("u"))
@@ -125,11 +130,12 @@ def learn_zones(phishing: DataFrame, candidates: DataFrame, shared: DataFrame, l
 
 def block_keys(urls: DataFrame, tenant_domains: DataFrame, path_hosts: DataFrame, protected: DataFrame, specific: int = 16) -> DataFrame:
     """(url, key): the address itself, its tenant, and the address without query where that names one object."""
-    d = urls.select("url", list_parts(F.col("url")).alias("p"), list_domain_key(F.col("url")).alias("domain")).withColumn("host", F.col("p.host"))
+    d = once(urls.select("url"), p=list_parts(F.col("url")))
+    d = once(d, domain=domain_key_of_host(F.col("p.host")), host=F.col("p.host"))
     d = d.join(tenant_domains.select("domain", F.lit(True).alias("td")), "domain", "left").join(path_hosts.select("host", "generic"), "host", "left")
     sub = F.when(F.col("td") & (F.col("host") != F.col("domain")), sub_tenant(F.col("host"), F.col("domain"))).otherwise("")
     shared_hosts = path_hosts.select(F.col("host").alias("sub"), F.lit(True).alias("s1")).unionByName(protected.select(F.col("key").alias("sub"), F.lit(True).alias("s1"))).distinct()
-    d = d.withColumn("sub", sub).join(shared_hosts, "sub", "left").withColumn("sub", F.when(F.col("s1"), F.lit("")).otherwise(F.col("sub")))
+    d = once(d, sub=sub).join(shared_hosts, "sub", "left").withColumn("sub", F.when(F.col("s1"), F.lit("")).otherwise(F.col("sub")))
     segs = F.filter(F.split("p.path", "/"), lambda s: s != "")
     depth = F.when(F.array_contains("generic", F.lower(F.get(segs, F.lit(0)))) & (F.size(segs) > 1), F.lit(2)).otherwise(F.lit(1))
     by_path = F.when(F.col("generic").isNotNull() & (F.size(segs) > 0), F.concat("p.host", "p.port", F.lit("/"), F.array_join(F.slice(segs, F.lit(1), depth), "/"))).otherwise("")
@@ -148,7 +154,8 @@ def build_lists(blocked: DataFrame, ranked: DataFrame, platforms: DataFrame, sho
     zones, tenant_domains, path_hosts = learn_zones(blocked, allow.join(platforms, "domain", "left_anti"), platforms, least, share)
     many = zones.where("not (how = 'child' and n_urls = 1)").select(F.col("zone").alias("key"))
     protected = allow.select(F.col("domain").alias("key")).unionByName(platforms.select(F.col("domain").alias("key"))).unionByName(many).distinct()
-    b = blocked.where("url is not null").distinct().select("url", list_domain_key(F.col("url")).alias("domain"), list_parts(F.col("url"))["host"].alias("host")).where("domain <> ''")
+    b = once(blocked.where("url is not null").select("url").distinct(), host=list_parts(F.col("url"))["host"])
+    b = once(b, domain=domain_key_of_host(F.col("host"))).where("domain <> ''")
     special = allow.select("domain").unionByName(platforms.select("domain")).distinct().withColumn("s", F.lit(True))
     zoned = in_zone(b.withColumnRenamed("url", "row_id"), zones).withColumnRenamed("row_id", "url").withColumn("z", F.lit(True))
     b = b.join(special, "domain", "left").join(zoned, "url", "left")
@@ -162,8 +169,9 @@ def build_lists(blocked: DataFrame, ranked: DataFrame, platforms: DataFrame, sho
 
 def tenant_sites(origins: DataFrame, platforms: DataFrame, zones: DataFrame, phishing: DataFrame) -> DataFrame:
     """(host) of popular tenants on platforms with no phishing on or below them and in no zone."""
-    o = origins.select(list_parts(F.col("url"))["host"].alias("host"), list_domain_key(F.col("url")).alias("domain")).distinct().where("host <> domain")
-    o = o.join(platforms, "domain", "left_semi").where(private_tenant(F.col("host")) == F.col("host"))
+    o = once(origins.select("url"), host=list_parts(F.col("url"))["host"]).select("host").distinct()
+    o = once(o, domain=domain_key_of_host(F.col("host")), tenant=private_tenant(F.col("host"))).where("host <> domain")
+    o = o.join(platforms, "domain", "left_semi").where("tenant = host")
     phished = phishing.select(F.explode(parents(list_parts(F.col("url"))["host"])).alias("host")).distinct()
     o = o.join(phished, "host", "left_anti").select("host")
     return o.join(in_zone(o.withColumn("row_id", F.col("host")), zones).withColumnRenamed("row_id", "host"), "host", "left_anti")
@@ -190,7 +198,8 @@ def digest(entries: DataFrame) -> str:
 
 def lookup(df: DataFrame, entries: DataFrame, shorteners: DataFrame, platforms: DataFrame, prefix_bytes: int = 8, key: str = "row_id") -> DataFrame:
     """(key, blocked, allow, shared, shortener) of each address against the lists."""
-    d = df.select(key, "url", list_domain_key(F.col("url")).alias("domain"), list_parts(F.col("url"))["host"].alias("host"))
+    d = once(df.select(key, "url"), host=list_parts(F.col("url"))["host"])
+    d = once(d, domain=domain_key_of_host(F.col("host")))
     hashed = lambda name, c: entries.where(F.col("list") == name).select(F.col("entry").alias(c)).distinct()
     by_url = expressions(d, key).select(key, U.list_hash(F.col("expression"), prefix_bytes).alias("h")).join(hashed("block_url", "h"), "h", "left_semi").select(key).distinct().withColumn("_u", F.lit(True))
     dom = d.withColumn("h", U.list_hash(F.col("domain"), prefix_bytes))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,19 +63,18 @@ def operating_point(df: DataFrame, target: float, by: Sequence[str] = (), min_ne
     """
     c = curve(df, by, weight)
     ok = (F.col("fp") <= target * F.col("n_neg") + 1e-9 * F.greatest(F.col("n_neg"), F.lit(1.0))) & (F.col("tp") > 0)
-    best = F.max_by(F.struct("score", "fp", "tp"), F.when(ok, F.struct("tp", "score")))
     best = F.max(F.when(ok, F.struct(F.col("tp"), F.col("score"), F.col("fp"))))
     n, p = F.max("n_neg"), F.max("n_pos")
-    out = c.groupBy(*by).agg(best.alias("b"), n.alias("n_neg"), p.alias("n_pos"))
+    out = c.groupBy(*by).agg(best.alias("_best"), n.alias("n_neg"), p.alias("n_pos"))
     both = (F.col("n_neg") > 0) & (F.col("n_pos") > 0)
     return out.select(
         *by,
         F.col("n_neg").cast("bigint").alias("n_neg"),
         _share(F.lit(1.0), F.col("n_neg")).alias("resolution"),
         (F.floor(F.lit(target) * F.col("n_neg")) < min_negatives).alias("granularity_limited"),
-        F.when(both, F.coalesce(F.col("b.tp"), F.lit(0.0)) / F.nullif(F.col("n_pos"), F.lit(0.0))).alias("recall"),
-        F.when(both, F.coalesce(F.col("b.fp"), F.lit(0.0)) / F.nullif(F.col("n_neg"), F.lit(0.0))).alias("achieved_fpr"),
-        F.when(both, F.coalesce(F.col("b.score"), F.lit(NO_ALARM))).alias("threshold"),
+        F.when(both, F.coalesce(F.col("_best.tp"), F.lit(0.0)) / F.nullif(F.col("n_pos"), F.lit(0.0))).alias("recall"),
+        F.when(both, F.coalesce(F.col("_best.fp"), F.lit(0.0)) / F.nullif(F.col("n_neg"), F.lit(0.0))).alias("achieved_fpr"),
+        F.when(both, F.coalesce(F.col("_best.score"), F.lit(NO_ALARM))).alias("threshold"),
     )
 
 
@@ -160,8 +160,6 @@ def max_false_positives(n: int, target: float, confidence: float = 0.95) -> int:
 
 
 def cp_upper_udf(confidence: float):
-    import pandas as pd
-
     @F.pandas_udf(T.DoubleType())
     def upper(k: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([clopper_pearson_upper(None if pd.isna(a) else int(a), None if pd.isna(b) else int(b), confidence) for a, b in zip(k, n)], dtype="float64")
