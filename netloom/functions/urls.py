@@ -169,9 +169,12 @@ def chars(text: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Bits a character; null for the empty text."""
-    n = F.length(text)
-    share = lambda c: (n - F.length(F.replace(text, c))) / n
-    return F.when(n > 0, -F.aggregate(F.array_distinct(chars(text)), F.lit(0.0), lambda a, c: a + share(c) * F.log2(share(c))))
+    def of(t: Column) -> Column:
+        n = F.length(t)
+        share = lambda c: (n - F.length(F.replace(t, c))) / n
+        return F.when(n > 0, -F.aggregate(F.array_distinct(chars(t)), F.lit(0.0), lambda a, c: let(share(c), lambda p: a + p * F.log2(p))))
+
+    return let(text, of)
 
 
 def longest_match(text: Column, pattern: str) -> Column:
@@ -253,11 +256,18 @@ def encode_bytes(text: Column, most: int = 200) -> Column:
 
 def trigram_vector(text: Column, size: int = 64) -> Column:
     """Counts of hashed character trigrams of the padded text, scaled to length 1."""
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.pmod(F.crc32(F.encode(F.substring(padded, i, F.lit(3)), "utf-8")), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.size(F.filter(grams, lambda g: g == b)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    def grams(t: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1)))
+        return F.transform(places, lambda i: F.pmod(F.crc32(F.encode(F.substring(t, i, F.lit(3)), "utf-8")), F.lit(size)))
+
+    def counts(g: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.size(F.filter(g, lambda x: x == b)).cast("double"))
+
+    def scaled(c: Column) -> Column:
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+        return let(norm, lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(x)))
+
+    return let(let(let(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), grams), counts), scaled)
 
 
 def host_suffixes(host: Column, most: int = 5) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from netloom.operators.graph import components
 from netloom.operators.skew import salted_join
 from netloom.plans.materialise import materialise
+from netloom.plans.stages import let, once
 
 #: From how many distinct values on the 64 bits are cut into so many blocks.
 BLOCKS = ((0, 4), (4_000_000, 5), (100_000_000, 6))
@@ -30,9 +31,11 @@ def visible_tokens(html: Column, most: int = 200_000) -> Column:
 
 def shingles(tokens: Column, size: int = 5) -> Column:
     """Runs of ``size`` words; all words as one if there are fewer."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(size)), " "))
-    return F.when(n >= size, runs).otherwise(F.array(F.array_join(tokens, " ")))
+    def of(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(size)), " "))
+        return F.when(F.size(t) >= size, runs).otherwise(F.array(F.array_join(t, " ")))
+
+    return let(tokens, of)
 
 
 @F.pandas_udf(T.LongType())
@@ -49,20 +52,23 @@ def simhash(lists: pd.Series) -> pd.Series:
     return lists.map(one).astype("Int64")
 
 
-def page_simhash(html: Column, min_tokens: int = 50, size: int = 5) -> Column:
-    """Simhash of a page, null below ``min_tokens`` visible words."""
-    tokens = visible_tokens(html)
-    return simhash(F.when(F.size(tokens) >= min_tokens, shingles(tokens, size)))
+def with_simhash(df: DataFrame, html: str = "html", name: str = "html_simhash", min_tokens: int = 50, size: int = 5) -> DataFrame:
+    """``df`` with the simhash of each page, null below ``min_tokens`` visible words."""
+    d = once(df, _tokens=visible_tokens(F.col(html)))
+    d = once(d, _shingles=F.when(F.size("_tokens") >= min_tokens, shingles(F.col("_tokens"), size)))
+    return d.withColumn(name, simhash(F.col("_shingles"))).drop("_tokens", "_shingles")
 
 
 def fast_simhash(tokens: Column, size: int = 5) -> Column:
     """The same vote over xxhash64 of the shingles, all in the JVM; values differ from :func:`simhash`."""
-    hashes = F.transform(shingles(tokens, size), lambda s: F.xxhash64(s))
-    bit = lambda i: F.aggregate(hashes, F.lit(0), lambda a, h: a + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1)).cast("int"))
-    value = F.lit(0).cast("bigint")
-    for i in range(64):
-        value = value.bitwiseOR(F.when(2 * bit(i) > F.size(hashes), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return F.when(F.size(tokens) > 0, value)
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def vote(hashes: Column) -> Column:
+        ones = lambda i: F.aggregate(hashes, F.lit(0), lambda a, h: a + F.call_function("shiftrightunsigned", h, i).bitwiseAND(one).cast("int"))
+        bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(2 * ones(i) > F.size(hashes), F.call_function("shiftleft", one, i)).otherwise(none))
+        return F.aggregate(bits, none, lambda a, b: a.bitwiseOR(b))
+
+    return F.when(F.size(tokens) > 0, let(F.transform(shingles(tokens, size), lambda s: F.xxhash64(s)), vote))
 
 
 def hamming(a: Column, b: Column) -> Column:

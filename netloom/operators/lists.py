@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import urls as U
+from netloom.plans.materialise import materialise
 from netloom.plans.stages import let, once
 
 
@@ -105,7 +106,7 @@ def learn_zones(phishing: DataFrame, candidates: DataFrame, shared: DataFrame, l
     p = once(phishing.where("url is not null").select("url"), p=list_parts(F.col("url")))
     p = once(p, domain=domain_key_of_host(F.col("p.host")))
     known = candidates.select("domain", F.lit(True).alias("cand")).unionByName(shared.select("domain", F.lit(False).alias("cand"))).groupBy("domain").agg(F.max("cand").alias("cand"))
-    p = p.join(known, "domain").select("domain", "cand", F.col("p.host").alias("host"), path_segments(F.col("p.path"), 2).alias("segs"))
+    p = materialise(p.join(known, "domain").select("domain", "cand", F.col("p.host").alias("host"), path_segments(F.col("p.path"), 2).alias("segs")), "list-phishing")
     below = once(p.where("host <> domain and endswith(host, concat('.', domain))"), site=sub_tenant(F.col("host"), F.col("domain")))
     opens = lambda n, u: _tenant_like(n, u, least, share) | ((n >= whole) if whole else F.lit(False))
     tenants = below.groupBy("domain", F.col("site").alias("t")).agg(F.count("*").alias("u")).groupBy("domain").agg(F.count("*").alias("n"), F.sum("u").alias("u"))
@@ -151,14 +152,15 @@ def build_lists(blocked: DataFrame, ranked: DataFrame, platforms: DataFrame, sho
     ``blocked``: url; ``ranked``, ``platforms``, ``shorteners``: domain.
     """
     allow = ranked.select("domain").where("domain <> ''").distinct().join(shorteners, "domain", "left_anti")
-    zones, tenant_domains, path_hosts = learn_zones(blocked, allow.join(platforms, "domain", "left_anti"), platforms, least, share)
+    learned = learn_zones(blocked, allow.join(platforms, "domain", "left_anti"), platforms, least, share)
+    zones, tenant_domains, path_hosts = (materialise(x, "list-zones") for x in learned)
     many = zones.where("not (how = 'child' and n_urls = 1)").select(F.col("zone").alias("key"))
     protected = allow.select(F.col("domain").alias("key")).unionByName(platforms.select(F.col("domain").alias("key"))).unionByName(many).distinct()
     b = once(blocked.where("url is not null").select("url").distinct(), host=list_parts(F.col("url"))["host"])
     b = once(b, domain=domain_key_of_host(F.col("host"))).where("domain <> ''")
     special = allow.select("domain").unionByName(platforms.select("domain")).distinct().withColumn("s", F.lit(True))
     zoned = in_zone(b.withColumnRenamed("url", "row_id"), zones).withColumnRenamed("row_id", "url").withColumn("z", F.lit(True))
-    b = b.join(special, "domain", "left").join(zoned, "url", "left")
+    b = materialise(b.join(special, "domain", "left").join(zoned, "url", "left"), "list-blocked")
     plain = b.where("s is null and z is null").select("domain").distinct()
     by_url = block_keys(b.where("s is not null or z is not null").select("url"), tenant_domains, path_hosts, protected)
     h = lambda c: U.list_hash(F.col(c), prefix_bytes)

@@ -204,7 +204,7 @@ def queries() -> dict[str, Query]:
         "corpus_build": lambda s, d: corpus.build(_corpus(s, d), PRIORITY, heldout=HELDOUT, eval_only=EVAL_ONLY, origins=ORIGINS, fractions=FRACTIONS)[0].select("uid", "part", "weight"),
         "corpus_removals": lambda s, d: corpus.build(_corpus(s, d), PRIORITY, heldout=HELDOUT, eval_only=EVAL_ONLY, origins=ORIGINS, fractions=FRACTIONS)[1],
         "corpus_part_summary": lambda s, d: corpus.part_summary(_corpus(s, d), "source"),
-        "page_simhash": lambda s, d: it(s, d).where("html is not null").select("row_id", dedup.page_simhash(F.col("html")).alias("simhash")),
+        "page_simhash": lambda s, d: dedup.with_simhash(it(s, d).where("html is not null").select("row_id", "html"), name="simhash").select("row_id", "simhash"),
         "near_dup_clusters": lambda s, d: dedup.near_dup_clusters(_corpus(s, d)).groupBy("root").agg(F.count("*").alias("n_values")),
         "split_grouped": lambda s, d: splits.grouped_split(_corpus(s, d).where("domain is not null")),
         "split_folds": lambda s, d: _corpus(s, d).select("uid", splits.grouped_folds(F.col("domain"), 5).alias("fold")),

@@ -164,13 +164,13 @@ def union(spark: SparkSession, sources: list[Source]) -> DataFrame:
 
 def interim(df: DataFrame) -> DataFrame:
     """Unified rows with row_id (by url, source and content, so it is the same on every run), has_html and simhash."""
-    from netloom.operators.dedup import page_simhash
+    from netloom.operators.dedup import with_simhash
     from netloom.operators.positions import positions
 
     d = df.where(F.length("domain") > 0).withColumn("_g", F.lit("all"))
     order = [F.col("source"), F.xxhash64("url"), F.col("url"), F.col("date"), F.xxhash64("html")]
     numbered = positions(d, "_g", order, "row_id").drop("_g")
-    return numbered.withColumn("row_id", F.col("row_id") + 1).withColumn("html_simhash", page_simhash(F.col("html"))).withColumn("has_html", F.col("html").isNotNull())
+    return with_simhash(numbered.withColumn("row_id", F.col("row_id") + 1)).withColumn("has_html", F.col("html").isNotNull())
 
 
 def preview(df: DataFrame, n: int = 3) -> DataFrame:
