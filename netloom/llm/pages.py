@@ -82,8 +82,8 @@ def same_pages(rows: DataFrame) -> DataFrame:
 
 
 def _pair(col: Column) -> list[Column]:
-    """128 bits of hash in two columns."""
-    return [F.xxhash64(col).alias("k1"), F.xxhash64(F.lit(1), col).alias("k2")]
+    """128 bits of hash in two columns, null for null (the hash function itself gives nulls a value)."""
+    return [F.when(col.isNotNull(), F.xxhash64(*x)).alias(name) for name, x in (("k1", [col]), ("k2", [F.lit(1), col]))]
 
 
 def sides(rows: DataFrame, splits: DataFrame) -> DataFrame:

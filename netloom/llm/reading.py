@@ -134,7 +134,7 @@ _QUANTILED = "row bigint, doc_id bigint, lang string, size double, " + ", ".join
 def _by_join(df: DataFrame, known: DataFrame) -> DataFrame:
     each = df.select("row", "lang", F.explode("words").alias("word")).groupBy("row", "lang", "word").count()
     found = salted_join(each, known, ["lang", "word"])
-    listed = found.groupBy("row").agg(F.percentile("acquired", [*QUANTILES], "count").alias("q"), (F.sum(F.col("acquired") * F.col("count")) / F.sum("count")).alias("mean"))
+    listed = found.groupBy("row").agg(F.percentile("acquired", [*QUANTILES], F.col("count")).alias("q"), (F.sum(F.col("acquired") * F.col("count")) / F.sum("count")).alias("mean"))
     q = [F.col("q")[i].alias(f"q{i}") for i in range(len(QUANTILES))]
     return df.select("row", "doc_id", "lang", "size").join(listed, "row", "left").select("row", "doc_id", "lang", "size", *q, F.col("mean").alias(f"q{len(QUANTILES)}"))
 
