@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import urls as U
 from netloom.functions.text import plain_name
 from netloom.operators import dedup
+from netloom.operators.positions import positions, top_per_group
 from netloom.operators.timestamps import EXACT
 
 POOL, HELDOUT, TIME_SLICE, EVAL_ONLY, OVERLAP = "pool", "heldout_source", "time_slice", "eval_only", "holdout_domain_overlap"
@@ -92,11 +93,8 @@ def assign_domain_owner(df: DataFrame, priority: Sequence[str]) -> DataFrame:
 
 
 def cap_per_domain(df: DataFrame, cap: int, seed: int) -> DataFrame:
-    """At most ``cap`` rows of a domain, by hash rank; two windows, so a huge domain is cut down in parts first."""
-    order = [U.rank_hash(F.col("uid"), seed), F.col("uid")]
-    part = df.withColumn("_part", F.pmod(F.xxhash64("uid"), F.lit(64)))
-    few = part.withColumn("_n", F.row_number().over(Window.partitionBy("domain", "_part").orderBy(*order))).where(F.col("_n") <= cap)
-    return few.withColumn("_n", F.row_number().over(Window.partitionBy("domain").orderBy(*order))).where(F.col("_n") <= cap).drop("_n", "_part")
+    """At most ``cap`` rows of a domain, by hash rank."""
+    return top_per_group(df, ["domain"], [U.rank_hash(F.col("uid"), seed), F.col("uid")], cap).drop("_rank")
 
 
 def newest_cutoffs(df: DataFrame, fractions: dict[str, float]) -> DataFrame:
@@ -157,11 +155,11 @@ def balance_depth(df: DataFrame, target: float = 0.7, min_minority: int = 20, se
     act = (few >= min_minority) & (few > 0) & (many / (few + many) > target)
     plan = counts.where(act).select("bucket", F.when(F.col("n0") >= F.col("n1"), F.lit(0)).otherwise(F.lit(1)).alias("major"), F.floor(few * (target / (1 - target))).alias("keep_n"))
     marked = df.withColumn("bucket", b).join(F.broadcast(plan), "bucket", "left")
-    cut = F.col("major").isNotNull() & (F.col("label") == F.col("major"))
-    # the k-th smallest hash of each bucket's larger class is found by a window over it alone
-    order = Window.partitionBy("bucket").orderBy(U.rank_hash(F.col("uid"), seed), F.col("uid"))
-    kept = marked.where(cut).withColumn("_n", F.row_number().over(order)).where("_n <= keep_n").drop("_n")
-    return marked.where(~cut).unionByName(kept).drop("bucket", "major", "keep_n")
+    cut = F.coalesce(F.col("label") == F.col("major"), F.lit(False))
+    # a bucket may hold much of the corpus, so its rows are placed by a global sort of their keys alone
+    keys = marked.where(cut).select("uid", "bucket", "keep_n", U.rank_hash(F.col("uid"), seed).alias("_h"))
+    kept = positions(keys, "bucket", [F.col("_h"), F.col("uid")]).where(F.col("position") < F.col("keep_n")).select("uid")
+    return marked.where(~cut).unionByName(marked.where(cut).join(kept, "uid", "left_semi")).drop("bucket", "major", "keep_n")
 
 
 def source_shares(df: DataFrame, max_share: float) -> dict[str, float]:

@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,3 +70,18 @@ def positions(df: DataFrame, group: str, order: Sequence[Column], name: str = "p
     starts = F.broadcast(spark.createDataFrame(rows, "_pid int, _off bigint, _first bigint"))
     start = F.when(F.col("_run") == 0, F.col("_first")).otherwise(F.col("_off") + F.col("_run"))
     return numbered.join(starts, "_pid").withColumn(name, F.col("_off") + F.col("_idx") - start).drop("_pid", "_idx", "_run", "_off", "_first")
+
+
+#: A group's rows are ranked in so many parts before the best of each part meet.
+PARTS = 64
+
+
+def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int | Column, name: str = "_rank") -> DataFrame:
+    """The first ``k`` rows of each group by a total ``order``, with their rank (from 1) as ``name``.
+
+    Ranked within hash parts of each group first, so a group that holds much
+    of the table is cut down in parallel; then within the group.
+    """
+    part = df.withColumn("_part", F.pmod(F.xxhash64(*[c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]), F.lit(PARTS)))
+    few = part.withColumn(name, F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order))).where(F.col(name) <= k)
+    return few.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col(name) <= k).drop("_part")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import urls as U
+from netloom.operators.positions import top_per_group
 
 TRAIN, CAL, TEST = "train", "cal", "test"
 
@@ -100,8 +101,8 @@ def band_sample(df: DataFrame, bands: Sequence[tuple[int, int, int]], seed: int,
     for i, (lo, hi, q) in enumerate(bands):
         inside = F.col(rank).between(lo, hi)
         band, quota = F.when(inside, F.lit(i)).otherwise(band), F.when(inside, F.lit(q)).otherwise(quota)
-    w = Window.partitionBy("band").orderBy(U.rank_hash(F.col(key), seed), F.col(key))
-    return df.withColumn("band", band).withColumn("_q", quota).where("band is not null").withColumn("_n", F.row_number().over(w)).where("_n <= _q").drop("_n", "_q")
+    banded = df.withColumn("band", band).withColumn("_q", quota).where("band is not null")
+    return top_per_group(banded, ["band"], [U.rank_hash(F.col(key), seed), F.col(key)], F.col("_q")).drop("_rank", "_q")
 
 
 def band_quotas(shares: Sequence[float], n: int) -> list[int]:
@@ -112,8 +113,7 @@ def band_quotas(shares: Sequence[float], n: int) -> list[int]:
 
 def round_robin(df: DataFrame, size: int, per_site: int, seed: int, site: str = "domain", key: str = "url") -> DataFrame:
     """Every site's first page before any site's second, up to ``size`` pages."""
-    w = Window.partitionBy(site).orderBy(U.rank_hash(F.col(key), seed), F.col(key))
-    ranked = df.withColumn("page_rank", F.row_number().over(w)).where(F.col("page_rank") <= per_site)
+    ranked = top_per_group(df, [site], [U.rank_hash(F.col(key), seed), F.col(key)], per_site, "page_rank")
     return ranked.orderBy("page_rank", U.rank_hash(F.col(key), seed), F.col(key)).limit(size)
 
 

@@ -199,7 +199,7 @@ def queries() -> dict[str, Query]:
         "corpus_domain_cap": lambda s, d: corpus.cap_per_domain(_corpus(s, d), 20, 42).select("uid"),
         "corpus_holdouts": lambda s, d: corpus.carve_holdouts(_corpus(s, d), HELDOUT, EVAL_ONLY, ORIGINS, FRACTIONS).select("uid", "part"),
         "corpus_depth_table": lambda s, d: corpus.depth_table(_corpus(s, d)),
-        "corpus_balance_depth": lambda s, d: corpus.balance_depth(_corpus(s, d), target=0.55).select("uid"),
+        "corpus_balance_depth": lambda s, d: corpus.balance_depth(_corpus(s, d), target=0.505).select("uid"),
         "corpus_source_weights": lambda s, d: corpus.source_weights(_corpus(s, d), 0.15).select("uid", F.round("weight", 9).alias("weight")),
         "corpus_build": lambda s, d: corpus.build(_corpus(s, d), PRIORITY, heldout=HELDOUT, eval_only=EVAL_ONLY, origins=ORIGINS, fractions=FRACTIONS)[0].select("uid", "part", "weight"),
         "corpus_removals": lambda s, d: corpus.build(_corpus(s, d), PRIORITY, heldout=HELDOUT, eval_only=EVAL_ONLY, origins=ORIGINS, fractions=FRACTIONS)[1],
@@ -291,7 +291,7 @@ def oracle_sql() -> dict[str, str]:
         "corpus_depth_table": f"""WITH {Q.CORPUS}, b AS (SELECT CASE WHEN depth >= 4 THEN '4+' ELSE depth::VARCHAR END AS bucket, count(*) FILTER (label = 0) AS benign, count(*) FILTER (label = 1) AS phishing FROM c GROUP BY 1)
             SELECT bucket, benign, phishing, benign + phishing AS total, round_even(greatest(benign, phishing) / (benign + phishing)::DOUBLE, 4) AS majority_share, round_even(100 * benign / greatest(sum(benign) OVER (), 1)::DOUBLE, 2) AS benign_pct_of_class, round_even(100 * phishing / greatest(sum(phishing) OVER (), 1)::DOUBLE, 2) AS phishing_pct_of_class FROM b""",
         "corpus_balance_depth": f"""WITH {Q.CORPUS}, b AS (SELECT *, CASE WHEN depth >= 4 THEN '4+' ELSE depth::VARCHAR END AS bucket FROM c), n AS (SELECT bucket, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM b GROUP BY 1),
-            pl AS (SELECT bucket, CASE WHEN n0 >= n1 THEN 0 ELSE 1 END AS major, floor(least(n0, n1) * (0.55::DOUBLE / (1 - 0.55::DOUBLE))) AS keep_n FROM n WHERE least(n0, n1) >= 20 AND greatest(n0, n1) / (n0 + n1)::DOUBLE > 0.55),
+            pl AS (SELECT bucket, CASE WHEN n0 >= n1 THEN 0 ELSE 1 END AS major, floor(least(n0, n1) * (0.505::DOUBLE / (1 - 0.505::DOUBLE))) AS keep_n FROM n WHERE least(n0, n1) >= 20 AND greatest(n0, n1) / (n0 + n1)::DOUBLE > 0.505),
             r AS (SELECT b.uid, b.label, pl.major, pl.keep_n, row_number() OVER (PARTITION BY b.bucket, b.label ORDER BY md5('42|' || uid), uid) AS rn FROM b LEFT JOIN pl USING (bucket)) SELECT uid FROM r WHERE major IS NULL OR label <> major OR label IS NULL OR rn <= keep_n""",
         "corpus_part_summary": f"""WITH {Q.CORPUS} SELECT source, count(*) AS n_rows, count(DISTINCT domain) AS n_domains, round_even(100 * avg(label), 2) AS phishing_pct, round_even(100 * avg((html_simhash IS NOT NULL)::INT), 2) AS hashed_pct, min(us) AS first_us, max(us) AS last_us FROM c GROUP BY 1""",
         "split_grouped": _split_sql(),

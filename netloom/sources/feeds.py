@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import urls as U
+from netloom.operators.positions import top_per_group
 
 
 def feed_rows(df: DataFrame, url: Column, source: str, threat: str, label: int = 1, feed_time: Column | None = None, target: Column | None = None) -> DataFrame:
@@ -84,14 +85,11 @@ def ranked_list(lines: DataFrame, top: int) -> DataFrame:
 
 def deep_urls(df: DataFrame, per_host: int, seed: int) -> DataFrame:
     """Up to ``per_host`` page addresses of each host: http(s), no user or port, no downloads, at least one directory, one for each canonical form."""
-    from pyspark.sql import Window
-
     u = F.col("url")
     skip = r"(?i)\.(?:jpe?g|png|gif|svg|webp|ico|bmp|pdf|zip|gz|tgz|rar|7z|exe|apk|dmg|mp[34]|avi|mov|css|js|json|xml|txt|woff2?|ttf)$"
     d = df.where(U.scheme(u).isin("http", "https") & (U.port(u) == "") & (U.userinfo(u) == "") & ~U.path(u).rlike(skip) & (U.url_depth(u) >= 1))
     d = d.select(U.hostname(u).alias("host"), U.normalize_url(u).alias("canon")).distinct()
-    w = Window.partitionBy("host").orderBy(U.rank_hash(F.col("canon"), seed), F.col("canon"))
-    return d.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_host).select("host", "canon")
+    return top_per_group(d, ["host"], [U.rank_hash(F.col("canon"), seed), F.col("canon")], per_host).select("host", "canon")
 
 
 def same_site_links(pages: DataFrame) -> DataFrame:
