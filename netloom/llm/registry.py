@@ -37,5 +37,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: The page of each url: every step of ``pages.page_key`` in DuckDB's words.
+PAGES = r"""
+    a AS (SELECT row_id, coalesce(lower(regexp_replace(source, '[\s\p{Z}]+', '', 'g')), '') AS src, replace(lower(regexp_replace(url, '[\s\p{Z}\p{Cc}]+', '', 'g')), '&amp;', '&') AS u FROM interim WHERE url IS NOT NULL AND row_id IS NOT NULL),
+    b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(u, '^[<>("''\[{]+', ''), '#.*$', ''), '[<>)"''\]},;.!&]+$', '') AS v FROM a),
+    c AS (SELECT *, regexp_extract(v, '^([a-z][a-z0-9+.-]*)://', 1) AS scheme, regexp_replace(v, '^[a-z][a-z0-9+.-]*://', '') AS rest FROM b),
+    d AS (SELECT *, regexp_extract(rest, '^([^/?]*)', 1) AS h0, regexp_extract(regexp_replace(rest, '^[^/?]*', ''), '^([^?]*)', 1) AS p0, regexp_extract(regexp_replace(rest, '^[^/?]*', ''), '^[^?]*\?(.*)$', 1) AS q FROM c),
+    e AS (SELECT *, CASE WHEN scheme IN ('http', '') THEN regexp_replace(h0, ':80$', '') ELSE h0 END AS h1 FROM d),
+    f AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN scheme IN ('https', '') THEN regexp_replace(h1, ':443$', '') ELSE h1 END, '\.+$', ''), '^www\.', '') AS host,
+          regexp_replace(regexp_replace(p0, '/{2,}', '/', 'g'), '[/,;]+$', '') AS path, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '')) AS fields FROM e),
+    k AS (SELECT row_id, src, host || path || CASE WHEN len(fields) > 0 THEN '?' || array_to_string(fields, '&') ELSE '' END AS page FROM f)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p6_found": f"WITH {PAGES}, g AS (SELECT row_id, min(row_id) OVER (PARTITION BY src, page) AS row_id_a FROM k WHERE page <> '') SELECT DISTINCT row_id_a, row_id AS row_id_b FROM g WHERE row_id <> row_id_a",
+        "p6_collapsed": f"WITH {PAGES} SELECT src AS source, page, min(row_id) AS row_id, count(*) AS copies FROM k WHERE page <> '' GROUP BY 1, 2",
+    }
