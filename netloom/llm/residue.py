@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.plans.stages import once
+
 _N = r"[A-Za-z_][A-Za-z0-9_.\- ]{0,60}"
 #: One grammar for each kind of delimiter.
 PLACEHOLDERS = (
@@ -91,7 +93,7 @@ TALK = r"(?i)(?<![/\w])(?:how to|step by step|guide|tutorial|library|lesson|lect
 STOCK = (
     r"(?i)^\W*(?:(?:please )?(?:try|retry|load|reload|come back)\b.{0,60}|retry in .{0,30}|go back to .{0,40}|check the spelling.{0,40}|contact .{0,30}|"
     r"reference\b.{0,20}|incident\b.{0,30}|ray\b.{0,20}|code \w+|ref \w+|(?:nginx|httpd|edge|apache|iis|openresty)\W*[\d.]*|just a moment.{0,20}|one moment.{0,20}|"
-    r"loading.{0,10}|hmm|oops|sorry|unfortunately|cannot load|allow them and .{0,40}|enable them and .{0,40}|[\w-]+(?:\.[\w-]+)+|\W*)\W*$"
+    r"loading.{0,10}|hmm|oops|sorry|unfortunately|(?:\w+ ){0,2}cannot load|allow them and .{0,40}|enable them and .{0,40}|[\w-]+(?:\.[\w-]+)+|\W*)\W*$"
 )
 
 #: The patterns of each kind need one of these in the lower-case html; a page without any is not looked at more closely.
@@ -165,8 +167,8 @@ def _triggers(html: Column) -> Column:
 
 
 def _stage(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
-    """``df`` with new columns that are worked out once: filters and projections above don't pull them apart."""
-    return df.select(*keep, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_x")).select(*keep, "_x.*")
+    """The kept columns and new ones that are worked out once."""
+    return once(df, **columns).select(*keep, *columns)
 
 
 def inspect(rows: DataFrame, html: str = "html", every: bool = False) -> DataFrame:

@@ -70,7 +70,7 @@ RESIDUE = [
     )
 ] + [
     html(REAL, title="{{ title }}"), html("<p>Lorem ipsum dolor sit amet consectetur adipiscing elit.</p>"), html("<p>Your content comes here soon.</p><p>Votre texte ici.</p>"), html("<h1>404</h1><p>The page you asked for is not on this server.</p>"),
-    html("<center>/a/guide was refused.</center><hr>nginx/1"), html("<h1>Erreur</h1><p>La page /x est introuvable.</p>"), html("<p>Please turn on JavaScript to go on.</p>"), html("<h1>a.test</h1><p>Please enable JS and reload.</p><p>Ray a1</p>"),
+    html("<center>/a/guide was refused.</center><hr>nginx/1"), html("<h1>Erreur</h1><p>La page /x est introuvable.</p>"), html("<p>Please turn on JavaScript to go on.</p>"), html("<p>Scripting is off. Content cannot load.</p>"), html("<h1>a.test</h1><p>Please enable JS and reload.</p><p>Ray a1</p>"),
     "<body><noscript>You need to enable JavaScript to run this app.</noscript><div id=root></div></body>",
 ]
 FINE = [
