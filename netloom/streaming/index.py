@@ -138,7 +138,7 @@ def token_bucket(events: DataFrame, key: str, at: str, capacity: float, refill_p
         for pdf in frames:
             out, tokens, last = walk(pdf, tokens, last)
             yield out
-        state.update((tokens, last))
+        state.update((float(tokens), None if last is None else float(last)))  # the state's fields take no whole numbers
 
     return d.groupBy("key").applyInPandasWithState(step, BUCKET_OUT, BUCKET_STATE, "append", GroupStateTimeout.NoTimeout)
 
