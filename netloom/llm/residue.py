@@ -72,9 +72,9 @@ ERROR_SENTENCE = (
 )
 FAULT = rf"(?i)\b(?:{_FAULT})"
 ERROR_LINE = (
-    r"(?i)^\W*(?:(?:http|status|error|code|fehler|erreur)\W{0,3}[1-5]\d\d|[45]\d\d)\b.{0,60}$|^(?:error|warning|problem loading page|oops|sorry)\W*$|"
+    r"(?i)^[^\p{L}\p{N}]*(?:(?:http|status|error|code|fehler|erreur)[^\p{L}\p{N}]{0,3}[1-5]\d\d|[45]\d\d)\b.{0,60}$|^(?:error|warning|problem loading page|oops|sorry)[^\p{L}\p{N}]*$|"
     r"^(?:(?:page|file|seite|site)? ?not (?:found|available)|bad gateway|gateway time-?out|(?:internal )?server error|service unavailable|forbidden|"
-    r"access (?:denied|forbidden)|request blocked|(?:account|site|page|service) (?:disabled|suspended))\W*$|"
+    r"access (?:denied|forbidden)|request blocked|(?:account|site|page|service) (?:disabled|suspended))[^\p{L}\p{N}]*$|"
     r"something (?:broke|went wrong)|we (?:could|can) ?not find|you do not have (?:the )?(?:rights?|permissions?) to|^(?:fatal|uncaught|php) ?\w* ?(?:fault|error)|^\w+ fault: |"
     r"^traceback|^warning: \w+\(|stack trace|internal server error|method \w+ used on nothing|"
     r"la (?:página|pagina) \S+ no existe|(?:página|pagina) no encontrada|est introuvable|n'existe (?:pas|plus)|nicht gefunden|gibt es nicht mehr|nicht verfügbar"
@@ -91,9 +91,9 @@ SCRIPTS = (
 TALK = r"(?i)(?<![/\w])(?:how to|step by step|guide|tutorial|library|lesson|lecture|our class|article|course|workshop|chapter|museum|exhibit)\b"
 #: Stock phrases that say nothing about the page; they count neither for nor against.
 STOCK = (
-    r"(?i)^\W*(?:(?:please )?(?:try|retry|load|reload|come back)\b.{0,60}|retry in .{0,30}|go back to .{0,40}|check the spelling.{0,40}|contact .{0,30}|"
-    r"reference\b.{0,20}|incident\b.{0,30}|ray\b.{0,20}|code \w+|ref \w+|(?:nginx|httpd|edge|apache|iis|openresty)\W*[\d.]*|just a moment.{0,20}|one moment.{0,20}|"
-    r"loading.{0,10}|hmm|oops|sorry|unfortunately|(?:\w+ ){0,2}cannot load|allow them and .{0,40}|enable them and .{0,40}|[\w-]+(?:\.[\w-]+)+|\W*)\W*$"
+    r"(?i)^[^\p{L}\p{N}]*+(?:(?:please )?(?:try|retry|load|reload|come back)\b.{0,60}|retry in .{0,30}|go back to .{0,40}|check the spelling.{0,40}|contact .{0,30}|"
+    r"reference\b.{0,20}|incident\b.{0,30}|ray\b.{0,20}|code \w+|ref \w+|(?:nginx|httpd|edge|apache|iis|openresty)[^\p{L}\p{N}]*[\d.]*|just a moment.{0,20}|one moment.{0,20}|"
+    r"loading.{0,10}|hmm|oops|sorry|unfortunately|(?:\w+ ){0,2}cannot load|allow them and .{0,40}|enable them and .{0,40}|[\w-]+(?:\.[\w-]+)+)?[^\p{L}\p{N}]*+$"
 )
 
 #: The patterns of each kind need one of these in the lower-case html; a page without any is not looked at more closely.
@@ -117,6 +117,10 @@ TRIGGERS = {
     ),
     "scripts": ("javascript", "java script", " js", ">js", "scripts", "scripting", "client-side", " script"),
 }
+#: A heading of one or two words and up to so many letters counts only if it is residue itself.
+SHORT = 30
+#: Scripts without blanks between words; their sentences are never headings by the number of words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 SLOT = r"\{(?:[0-9]{1,2}|[a-z][a-z0-9]*(?:[_.][a-z0-9]+)*)\}"
 
 _BLOCK = r"</?(?:p|div|h[1-6]|li|ul|ol|dl|dt|dd|table|tr|td|th|section|article|main|aside|header|footer|nav|center|hr|br|body|html|head|title|form|blockquote|figure)\b[^>]*>"
@@ -189,7 +193,7 @@ def inspect(rows: DataFrame, html: str = "html", every: bool = False) -> DataFra
     error = lambda s: may["error"] & _is_error(s) & ~s.rlike(TALK)
     script = lambda s: may["scripts"] & s.rlike(SCRIPTS) & ~s.rlike(TALK)
     # of each sentence that isn't a stock phrase: its letters, and whether it is of a kind; short headings count only if they are
-    judge = lambda s: F.struct(_letters(s).alias("n"), filler(s).alias("f"), error(s).alias("e"), script(s).alias("j"), (F.size(F.split(s, r"\s+")) <= 2).alias("short"))
+    judge = lambda s: F.struct(_letters(s).alias("n"), filler(s).alias("f"), error(s).alias("e"), script(s).alias("j"), ((F.size(F.split(s, r"\s+")) <= 2) & (_letters(s) <= SHORT) & ~s.rlike(UNSPACED)).alias("short"))
     said = F.transform(F.filter("sentences", lambda s: ~s.rlike(STOCK)), judge)
     df = _stage(df, ["row_id", "may", "notice", "placeholder"], said=F.filter(said, lambda x: ~x["short"] | x["f"] | x["e"] | x["j"]))
     zero = F.struct(*[F.lit(0).alias(k) for k in ("n", "f", "e", "j")])

@@ -77,6 +77,7 @@ FINE = [
     html(REAL), html(f"{REAL}<pre><code>Hello {{{{ name }}}}, ${{id}}</code></pre>"), html(f"{REAL}<noscript>Please enable JavaScript.</noscript>"), html(f"{REAL}<script type='text/x-template'>{{{{ a }}}} %%A%%</script>"),
     html("<p>You have set lorem ipsum as mock text for ages; our class in May looks at why and how it was made.</p>"), html("<p>Keys not found in room 46 are kept at the desk of the hall until Friday.</p>"), html("<p>Room 404 was painted and can be booked again from 8 o'clock.</p>"),
     html("<p>The guide of the library shows how to enable JavaScript step by step.</p>"), html(f"{REAL}<p>Fields marked [optional] may stay empty. Save 5% on orders over $ 20.</p>"), "", html(REAL * 20 + "<p>The page could not be found.</p>"),
+    html("<p>В комнате 404 сделали ремонт, и её снова можно забронировать.</p>"), html("<p>図書館の案内では、設定を変える方法を順番に説明しています。</p><p>Please enable JS.</p>"), html("<p>" + "?! " * 5000 + "real words</p>"),
 ]
 
 
