@@ -273,14 +273,13 @@ def oracle_sql() -> dict[str, str]:
         "host_eligibility": f"""SELECT CASE WHEN label IS NULL THEN 'no_label' WHEN regexp_matches(host, '{Q.IPV4}') THEN 'ip_host' WHEN dns IS NULL THEN 'no_dns' WHEN NOT coalesce(dns.resolves, false) THEN 'not_resolving'
             WHEN (epoch_us(captured_at) - epoch_us(first_seen)) / 3.6e9 > 24 THEN 'late_capture' ELSE 'kept' END AS step, label, count(*) AS n FROM host_capture GROUP BY 1, 2""",
         "host_counts_by_label": "SELECT coalesce(label::VARCHAR, 'missing') AS label, count(*) AS n_hosts, count(DISTINCT domain) AS n_domains, count(dns) AS with_dns, count(tls) AS with_tls, count(*) FILTER (coalesce(dns.resolves, false)) AS resolving FROM host_capture GROUP BY 1",
-        "schema_violations": "SELECT unnest(['url null', 'domain null', 'label null', 'source null', 'depth null', 'url empty', 'domain empty', 'label not 0 or 1', 'depth negative']) AS rule, unnest([count(*) FILTER (url IS NULL), count(*) FILTER (domain IS NULL), count(*) FILTER (label IS NULL), count(*) FILTER (source IS NULL), count(*) FILTER (depth IS NULL), count(*) FILTER (url = ''), count(*) FILTER (domain = ''), count(*) FILTER (label NOT IN (0, 1)), count(*) FILTER (depth < 0)]) AS n FROM interim"
-        if False
-        else "".join(
-            f"{'' if i == 0 else ' UNION ALL '}SELECT '{r}' AS rule, count(*) FILTER ({w}) AS n FROM interim"
-            for i, (r, w) in enumerate(
-                {"url null": "url IS NULL", "domain null": "domain IS NULL", "label null": "label IS NULL", "source null": "source IS NULL", "depth null": "depth IS NULL", "url empty": "url = ''", "domain empty": "domain = ''", "label not 0 or 1": "label NOT IN (0, 1)", "depth negative": "depth < 0"}.items()
-            )
-        ),
+        "schema_violations": " UNION ALL ".join(
+            f"SELECT '{rule}' AS rule, count(*) FILTER ({where}) AS n FROM interim"
+            for rule, where in {
+                "url null": "url IS NULL", "domain null": "domain IS NULL", "label null": "label IS NULL", "source null": "source IS NULL", "depth null": "depth IS NULL", "url empty": "url = ''",
+                "domain empty": "domain = ''", "label not 0 or 1": "label NOT IN (0, 1)", "depth negative": "depth < 0",
+            }.items()
+        ),
         "corpus_url_dedup": KEYED + f", g AS (SELECT *, {best} AS rn, min(label) OVER (PARTITION BY k) AS lo, max(label) OVER (PARTITION BY k) AS hi FROM kk) SELECT uid FROM g WHERE rn = 1 AND (lo = hi OR lo IS NULL)",
         "corpus_shared_domains": f"WITH {Q.CORPUS} SELECT domain, count(DISTINCT source) AS n_sources FROM c WHERE label = 1 GROUP BY 1 HAVING count(DISTINCT source) > 1",
         "corpus_domain_owner": f"WITH {Q.CORPUS}, o AS (SELECT domain, source, row_number() OVER (PARTITION BY domain ORDER BY us NULLS LAST, {PRIO}, source) AS rn FROM c) SELECT domain, source FROM o WHERE rn = 1",
@@ -306,6 +305,22 @@ def oracle_sql() -> dict[str, str]:
         "metric_medians": f"WITH {SCORED} SELECT source, round(median(score), 9) AS score_median, round(min(score), 9) AS score_min, round(max(score), 9) AS score_max FROM s GROUP BY 1",
         "metric_depth_weights": f"""WITH {Q.CORPUS}, b AS (SELECT *, CASE WHEN depth >= 4 THEN '4+' ELSE depth::VARCHAR END AS bucket FROM c), n AS (SELECT bucket, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM b GROUP BY 1), g AS (SELECT *, n0 + n1 AS goal, sum(n0 + n1) OVER () AS al FROM n WHERE n0 > 0 AND n1 > 0)
             SELECT b.label, count(*) AS n, round(sum(coalesce(CASE WHEN label = 0 THEN goal / al / n0 WHEN label = 1 THEN goal / al / n1 END, 0)), 9) AS weight FROM b LEFT JOIN g USING (bucket) GROUP BY 1""",
+        "split_folds": f"WITH {Q.CORPUS} SELECT uid, (('0x' || substr(md5('0|' || domain), 1, 8))::UBIGINT % 5)::INT AS fold FROM c",
+        "metric_calibration": f"""WITH {SCORED}, b AS (SELECT source, least(floor(score * 10), 9) AS bin, count(*) AS n, avg(score) AS p, avg(label) AS y FROM s GROUP BY 1, 2), e AS (SELECT source, sum(n * abs(p - y)) / sum(n) AS ece FROM b GROUP BY 1),
+            r AS (SELECT source, avg((score - label) ** 2) AS brier FROM s GROUP BY 1) SELECT e.source, round(ece, 9) AS ece, round(brier, 9) AS brier FROM e JOIN r USING (source)""",
+        "metric_eta_squared": f"""WITH {SCORED}, m AS (SELECT label, avg(score) AS gm, count(*) AS gn FROM s GROUP BY 1), k AS (SELECT label, source, avg(score) AS sm, count(*) AS sn FROM s GROUP BY 1, 2),
+            t AS (SELECT s.label, sum((score - gm) ** 2) AS total FROM s JOIN m USING (label) GROUP BY 1), b AS (SELECT k.label, sum(sn * (sm - gm) ** 2) AS between_ FROM k JOIN m USING (label) GROUP BY 1)
+            SELECT round(sum(gn * CASE WHEN total > 0 THEN between_ / total ELSE 0 END) / sum(gn), 9) AS eta_squared FROM m JOIN t USING (label) JOIN b USING (label)""",
+        "host_flags": f"""SELECT capture_id, lower(domain) IN ({", ".join(f"'{x}'" for x in word_lists.PLATFORMS)}) AS is_hosting_platform, regexp_matches(host, '{Q.IPV4}') AS is_ip, CASE WHEN len(coalesce(dns.a, [])) > 0 AND len(list_filter(dns.a, lambda x: x NOT IN ('0.0.0.0', '127.0.0.1', '::', '::1'))) = 0 THEN false ELSE dns.resolves END AS resolves,
+            len(coalesce(dns.a, [])) > 0 AND len(list_filter(coalesce(dns.a, []), lambda x: x NOT IN ('0.0.0.0', '127.0.0.1', '::', '::1'))) = 0 AS filtered FROM host_capture""",
+        "features_domain_tls": f"""SELECT capture_id, CASE WHEN tls IS NOT NULL THEN tls.ok END::DOUBLE AS tls_ok, CASE WHEN {good} THEN tls.verified END::DOUBLE AS tls_verified,
+            CASE WHEN {cert} AND trim(coalesce(tls.issuer_o, '')) <> '' THEN contains(lower(tls.issuer_o), 'let''s encrypt') OR contains(lower(tls.issuer_o), 'zerossl') OR contains(lower(tls.issuer_o), 'buypass') END::DOUBLE AS cert_free_issuer,
+            CASE WHEN {cert} THEN {days('tls.not_after', 'tls.not_before')} END AS cert_validity_days, CASE WHEN {cert} THEN {days('captured_at', 'tls.not_before')} END AS cert_age_days, CASE WHEN {cert} THEN {days('tls.not_after', 'captured_at')} END AS cert_days_left,
+            CASE WHEN {cert} THEN len(tls.sans) END::DOUBLE AS cert_san_count, CASE WHEN {cert} THEN len(list_filter(list_append(coalesce(tls.sans, []), coalesce(tls.subject_cn, '')), lambda x: starts_with(x, '*.'))) > 0 END::DOUBLE AS cert_wildcard,
+            CASE WHEN {cert} AND tls.subject_cn <> '' THEN lower(tls.subject_cn) = lower(host) OR (starts_with(tls.subject_cn, '*.') AND contains(host, '.') AND '*.' || regexp_replace(lower(host), '^[^.]*\\.', '') = lower(tls.subject_cn)) END::DOUBLE AS cert_cn_matches_host,
+            CASE WHEN {cert} THEN len(list_filter(coalesce(tls.sans, []), lambda x: len(list_filter([{", ".join(f"'{b}'" for b in word_lists.Lists().brands)}], lambda b: b <> (CASE WHEN ({Q.suffix_size("regexp_replace(lower(x), '^[*][.]', '')")}) = 0 THEN regexp_replace(lower(x), '^[*][.]', '')
+                ELSE coalesce(string_split(regexp_replace(lower(x), '^[*][.]', ''), '.')[-(({Q.suffix_size("regexp_replace(lower(x), '^[*][.]', '')")}) + 1)], '') END)
+                AND len(list_filter(string_split(regexp_replace(lower(x), '^[*][.]', ''), '.'), lambda l: contains(l, b))) > 0)) > 0 AND NOT regexp_matches(x, '{Q.IPV4}'))) > 0 END::DOUBLE AS brand_in_cert_sans FROM host_capture""",
         "index_build": f"""WITH {Q.url_cte('feed_batch', 'label, source, batch_day', 'url IS NOT NULL')}, k AS (SELECT *, {Q.normalized()} AS url_norm FROM p) SELECT url_norm, max(label) AS label, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, min(label) <> max(label) AS label_conflict,
             epoch_us(min(batch_day)::TIMESTAMP) AS first_us, epoch_us(max(batch_day)::TIMESTAMP) AS last_us FROM k GROUP BY 1""",
         "index_merge": f"""WITH {Q.url_cte('feed_batch', 'label, source', 'url IS NOT NULL')}, b AS (SELECT {Q.normalized()} AS url_norm, max(label) AS label, min(label) AS lo, list(source) AS srcs FROM p GROUP BY 1)
