@@ -143,6 +143,37 @@ def _sql_words() -> str:
         CASE WHEN host IS NOT NULL THEN label <> '' AND NOT {exact} AND len(list_filter({arr['br']}, lambda w: contains(label, w))) > 0 END::DOUBLE AS domain_contains_brand FROM p"""
 
 
+def _when_host(cols: dict[str, str]) -> str:
+    return A_PARSE + "SELECT row_id, " + ", ".join(f"CASE WHEN host IS NOT NULL THEN {v} END::DOUBLE AS {k}" for k, v in cols.items()) + " FROM p"
+
+
+def _sql_host_form() -> str:
+    tld, ext = "string_split(suffix, '.')[-1]", r"regexp_extract(lower(string_split(path, '/')[-1]), '\.([a-z0-9]{1,5})$', 1)"
+    parts = "string_split(host, '.')"
+    numeric = f"len(list_filter({parts}, lambda x: regexp_matches(x, '^[0-9]+$') OR starts_with(x, '0x'))) = 4"
+    return _when_host({
+        "host_is_ip": "is_ip",
+        "host_ip_obfuscated": f"regexp_matches(host, '^0x[0-9a-f]+$') OR regexp_matches(host, '^[0-9]{{8,}}$') OR (len({parts}) = 4 AND {numeric} AND len(list_filter({parts}, lambda x: length(x) > 1 AND starts_with(x, '0'))) > 0)",
+        "has_port": "port <> ''", "nonstandard_port": "port NOT IN ('', '80', '443')", "has_userinfo": "userinfo <> ''", "has_punycode": "contains(host, 'xn--')",
+        "has_non_ascii_host": r"regexp_matches(host, '[^\x00-\x7F]')", "https_in_host": "contains(host, 'https')", "http_in_path": "contains(lower(path), 'http')", "www_in_path": "contains(lower(path), 'www')",
+        "www_misplaced_host": f"list_contains({parts}, 'www')", "double_slash_in_path": "contains(path, '//')", "tld_in_path": f"{tld} <> '' AND list_contains({_W('path')}, {tld})",
+        "tld_in_subdomain": f"{tld} <> '' AND list_contains(string_split(subdomain, '.'), {tld})", "abnormal_subdomain": "len(string_split(subdomain, '.')) > 3 OR len(list_filter(string_split(subdomain, '.'), lambda x: length(x) > 25)) > 0",
+        "prefix_suffix_hyphen": "contains(label, '-')", "path_ext_present": f"{ext} <> ''", "path_ext_is_script": f"{ext} IN ('php', 'asp', 'aspx', 'jsp', 'cgi')", "path_ext_is_html": f"{ext} IN ('html', 'htm', 'shtml')",
+    })
+
+
+def _sql_other() -> str:
+    names = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    lists_ = word_lists.Lists()
+    keys = "list_transform(list_filter(string_split(query, '&'), lambda kv: kv <> ''), lambda kv: lower(split_part(kv, '=', 1)))"
+    tail = "lower(path || '?' || query)"
+    return _when_host({
+        "is_shortener": f"(CASE WHEN suffix <> '' THEN label || '.' || suffix ELSE label END) IN ({names(lists_.shorteners)})", "has_redirect_param": f"list_has_any({keys}, [{names(lists_.redirect_fields)}])",
+        "has_embedded_url": f"regexp_matches({tail}, 'https?(://|%3a%2f%2f|%253a%252f%252f)')", "has_embedded_email": rf"regexp_matches({tail}, '[a-z0-9._+\-]+@[a-z0-9\-]+\.[a-z]{{2,}}')",
+        "suspicious_tld": f"string_split(suffix, '.')[-1] IN ({names(lists_.suspicious_tlds)})", "is_hosting_platform": "is_platform",
+    })
+
+
 def _split_sql(seed: int = 0) -> str:
     """The grouped split as SQL: running sums in hash order within each stratum."""
     h = lambda s: f"('0x' || substr(md5('{s}|' || domain), 1, 8))::UBIGINT / 4294967296.0"
@@ -259,6 +290,12 @@ def oracle_sql() -> dict[str, str]:
         "features_url_counts": _sql_counts(),
         "features_url_ratios": _sql_ratios(),
         "features_url_words": _sql_words(),
+        "features_url_host_form": _sql_host_form(),
+        "features_url_other": _sql_other(),
+        "list_keys": rf"""WITH a AS (SELECT row_id, regexp_replace(regexp_replace(regexp_replace(url, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g'), '(?s)#.*$', ''), '{Q.SCHEME}', '') AS s FROM interim),
+            b AS (SELECT row_id, translate(regexp_replace(regexp_extract(s, '(?s)^([^/?]*)', 1), '(?s)^.*@', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS a, regexp_replace(s, '^[^/?]*', '') AS rest FROM a),
+            c AS (SELECT row_id, regexp_replace(regexp_replace(regexp_extract(a, '^([^:]*)', 1), '\.+$', ''), '^www\.', '') AS host, regexp_extract(a, '(?s)(:.*)$', 1) AS port, regexp_replace(regexp_extract(rest, '(?s)^([^?]*)', 1), '/+$', '') AS path, regexp_extract(rest, '(?s)^[^?]*(\?.*)$', 1) AS query FROM b)
+            SELECT row_id, host || port || path || query AS url_key, {Q.domain()} AS domain_key FROM c""",
         "features_domain_dns": f"""SELECT capture_id, {unless('A', 'len(coalesce(dns.a, []))')} AS n_a, {unless('AAAA', '0')} AS n_aaaa, {unless('CNAME', '0')} AS has_cname, {unless('MX', 'dns.mx_count')} AS mx_count, {unless('MX', 'dns.mx_count > 0')} AS has_mx,
             {unless('TXT', 'dns.spf')} AS has_spf, {unless('TXT', 'dns.dmarc')} AS has_dmarc, {unless('NS', f'len({ns})')} AS n_ns,
             CASE WHEN dns IS NOT NULL AND NOT list_contains({failed}, 'NS') AND len({ns}) > 0 THEN len(list_filter({ns}, lambda n: ({Q.domain('n')}) = lower(domain))) > 0 END::DOUBLE AS ns_in_own_domain,
