@@ -2,7 +2,8 @@
 
 Random choices are ranks of a hash of seed and key, so they are the same on
 every run and in SQL.  Each step takes and gives rows with uid, url, domain,
-label, date (timestamp), source, depth, origin and html_simhash.
+label, date (timestamp), source, depth, origin and html_simhash; steps that
+don't look at dates need no date.
 """
 
 from __future__ import annotations
@@ -16,21 +17,28 @@ from netloom.functions import urls as U
 from netloom.functions.text import plain_name
 from netloom.operators import dedup
 from netloom.operators.positions import positions, top_per_group
-from netloom.operators.timestamps import EXACT
+from netloom.operators.timestamps import to_utc
 
 POOL, HELDOUT, TIME_SLICE, EVAL_ONLY, OVERLAP = "pool", "heldout_source", "time_slice", "eval_only", "holdout_domain_overlap"
 
 
-def corpus_rows(interim: DataFrame) -> DataFrame:
-    """Interim rows with uid, plain source and exact dates as timestamps."""
+def corpus_rows(interim: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Interim rows with uid, plain source and, given the source configuration, dates of any writing as timestamps.
+
+    Without ``sources`` there is no date, so that a step that needs one fails.
+    """
     source = plain_name(F.col("source"))
+    date = []
+    if sources is not None:
+        interim = to_utc(interim.select("row_id", "url", "domain", "label", "date", "source", "depth", "origin", "html_simhash"), sources)
+        date = [F.timestamp_micros("utc_micros").alias("date")]
     return interim.select(
         F.concat(source, F.lit(":"), F.col("row_id").cast("string")).alias("uid"),
         "row_id",
         "url",
         F.lower(F.trim("domain")).alias("domain"),
         F.col("label").cast("int").alias("label"),
-        F.when(F.col("date").rlike(EXACT), F.to_timestamp(F.when(F.col("date").rlike(EXACT), F.col("date")))).alias("date"),
+        *date,
         source.alias("source"),
         F.col("depth").cast("int").alias("depth"),
         "origin",

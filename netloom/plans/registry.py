@@ -37,6 +37,11 @@ def _corpus(s: SparkSession, d: str) -> DataFrame:
     return corpus.corpus_rows(table(s, d, "interim"))
 
 
+def _dated(s: SparkSession, d: str) -> DataFrame:
+    """Corpus rows with dates, for the steps that look at them."""
+    return corpus.corpus_rows(table(s, d, "interim"), table(s, d, "source_cfg"))
+
+
 def _scored(s: SparkSession, d: str) -> DataFrame:
     """Corpus rows with a score from hash and label, on a grid so that scores tie."""
     score = F.floor((U.unit_hash(F.col("uid"), 1) * 0.7 + F.col("label") * 0.3) * 1000) / 1000
@@ -223,18 +228,18 @@ def queries() -> dict[str, Query]:
         "host_counts_by_label": lambda s, d: domain_features.counts_by_label(hc(s, d)),
         "schema_violations": lambda s, d: schema.violations(it(s, d)),
         "source_projection": lambda s, d: readers.from_table(it(s, d), readers.Source("sample", "table", columns={"url": "url", "label": "label", "html": "html"})).groupBy("label", "domain").agg(F.count("*").alias("n"), F.sum("depth").alias("depths")),
-        "corpus_url_dedup": lambda s, d: corpus.dedup_urls(_corpus(s, d), PRIORITY).select("uid"),
-        "corpus_near_dup": lambda s, d: corpus.near_dup_pages(_corpus(s, d), PRIORITY).select("uid"),
+        "corpus_url_dedup": lambda s, d: corpus.dedup_urls(_dated(s, d), PRIORITY).select("uid"),
+        "corpus_near_dup": lambda s, d: corpus.near_dup_pages(_dated(s, d), PRIORITY).select("uid"),
         "corpus_shared_domains": lambda s, d: corpus.shared_phishing_domains(_corpus(s, d)),
-        "corpus_domain_owner": lambda s, d: corpus.domain_owner(_corpus(s, d), PRIORITY),
+        "corpus_domain_owner": lambda s, d: corpus.domain_owner(_dated(s, d), PRIORITY),
         "corpus_domain_cap": lambda s, d: corpus.cap_per_domain(_corpus(s, d), 20, 42).select("uid"),
-        "corpus_holdouts": lambda s, d: corpus.carve_holdouts(_corpus(s, d), HELDOUT, EVAL_ONLY, ORIGINS, FRACTIONS).select("uid", "part"),
+        "corpus_holdouts": lambda s, d: corpus.carve_holdouts(_dated(s, d), HELDOUT, EVAL_ONLY, ORIGINS, FRACTIONS).select("uid", "part"),
         "corpus_depth_table": lambda s, d: corpus.depth_table(_corpus(s, d)),
         "corpus_balance_depth": lambda s, d: corpus.balance_depth(_corpus(s, d), target=0.505).select("uid"),
         "corpus_source_weights": lambda s, d: corpus.source_weights(_corpus(s, d), 0.15).select("uid", F.round("weight", 9).alias("weight")),
-        "corpus_build": lambda s, d: corpus.build(_corpus(s, d), PRIORITY, heldout=HELDOUT, eval_only=EVAL_ONLY, origins=ORIGINS, fractions=FRACTIONS)[0].select("uid", "part", "weight"),
-        "corpus_removals": lambda s, d: corpus.build(_corpus(s, d), PRIORITY, heldout=HELDOUT, eval_only=EVAL_ONLY, origins=ORIGINS, fractions=FRACTIONS)[1],
-        "corpus_part_summary": lambda s, d: corpus.part_summary(_corpus(s, d), "source"),
+        "corpus_build": lambda s, d: corpus.build(_dated(s, d), PRIORITY, heldout=HELDOUT, eval_only=EVAL_ONLY, origins=ORIGINS, fractions=FRACTIONS)[0].select("uid", "part", "weight"),
+        "corpus_removals": lambda s, d: corpus.build(_dated(s, d), PRIORITY, heldout=HELDOUT, eval_only=EVAL_ONLY, origins=ORIGINS, fractions=FRACTIONS)[1],
+        "corpus_part_summary": lambda s, d: corpus.part_summary(_dated(s, d), "source"),
         "page_simhash": lambda s, d: dedup.with_simhash(it(s, d).where("html is not null").select("row_id", "html"), name="simhash").select("row_id", "simhash"),
         "near_dup_clusters": lambda s, d: dedup.near_dup_clusters(_corpus(s, d)).groupBy("root").agg(F.count("*").alias("n_values")),
         "split_grouped": lambda s, d: splits.grouped_split(_corpus(s, d).where("domain is not null")),

@@ -97,6 +97,22 @@ def test_corpus_steps(spark):
     assert abs(w.agg(F.avg("weight")).first()[0] - 1) < 1e-9
 
 
+def interim_rows(spark, rows):
+    """Interim rows of (row_id, source, date, domain)."""
+    full = [(i, f"http://{i}.test/", d, 0, when, s, 1, "", None) for i, s, when, d in rows]
+    return spark.createDataFrame(full, "row_id bigint, url string, domain string, label int, date string, source string, depth int, origin string, html_simhash bigint")
+
+
+def test_corpus_rows_read_dates_of_any_writing(spark):
+    cfg = spark.createDataFrame([("a", "Europe/Berlin", True), ("b", "UTC", False)], "source string, tz_name string, day_first boolean")
+    rows = interim_rows(spark, [(1, "b", "2023-01-04T00:00:00.000000Z", "x.test"), (2, " A", "03/01/2023 05:06:07", "x.test"), (3, "a", "1672611734509", "y.test"), (4, "b", "unknown", "y.test")])
+    df = corpus.corpus_rows(rows, cfg)
+    us = {r.row_id: r.us for r in df.select("row_id", F.unix_micros("date").alias("us")).collect()}
+    assert us == {1: 1672790400000000, 2: 1672718767000000, 3: 1672611734509000, 4: None}
+    assert {(r.domain, r.source) for r in corpus.domain_owner(df, ["b", "a"]).collect()} == {("x.test", "a"), ("y.test", "a")}
+    assert "date" not in corpus.corpus_rows(rows).columns
+
+
 def test_splits_are_disjoint_and_near_target(spark):
     df = spark.range(4000).select(F.concat(F.lit("d"), (F.col("id") % 700).cast("string"), F.lit(".com")).alias("domain"), (F.col("id") % 700 % 2).cast("int").alias("label"), F.concat(F.lit("http://d"), (F.col("id") % 700).cast("string"), F.lit(".com/"), F.col("id").cast("string")).alias("url"))
     sp = splits.grouped_splits(df, 2)
