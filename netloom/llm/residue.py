@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.plans.stages import once
+from netloom.plans.stages import let, once
 
 _N = r"[A-Za-z_][A-Za-z0-9_.\- ]{0,60}"
 #: One grammar for each kind of delimiter.
@@ -96,32 +96,34 @@ STOCK = (
     r"loading.{0,10}|hmm|oops|sorry|unfortunately|(?:\w+ ){0,2}cannot load|allow them and .{0,40}|enable them and .{0,40}|[\w-]+(?:\.[\w-]+)+)?[^\p{L}\p{N}]*+$"
 )
 
-#: The patterns of each kind need one of these in the lower-case html; a page without any is not looked at more closely.
+#: Every pattern of a kind needs one of these in the lower-case text that it is matched on (for placeholders: html without tags);
+#: a page without any is not looked at more closely.
 TRIGGERS = {
     "placeholder": (
-        "{{", "${", "#{", "$[", "[[", "{%", "<%", "&lt;%", "<?", "&lt;?", "%%", "@@", "*|", "* |", "__", "%(", "[your", "[insert", "[enter", "[add", "[put", "[type",
-        "here>", "here&gt;", "&#123;", "&lcub;",
-    ),
-    "filler": (
-        "ipsum", "lorem", "dolor", "amet", "consect", "adipi", "eiusmod", "incididunt", "labor", "magna", "aliqu", "veniam", "minim", "nostrud", "exercita", "ullamco", "nisi",
-        "commodo", "consequat", "duis", "aute", "irure", "reprehend", "volupt", "velit", "cillum", "fugiat", "nulla", "pariatur", "excepteur", "sint", "occaecat", "cupidat",
-        "proident", "culpa", "officia", "deserunt", "mollit", "tempor", "sample", "dummy", "placeholder", "demo ", "text", "texte", "double-click", "goes", "comes", " here",
-        "soon", "in this ", "hier steht", "contenido", "own words", "replaced",
+        "{", "$[", "[[", "<%", "&lt;%", "<?", "&lt;?", "%%", "@@", "__", "%(", "[your", "[insert", "[enter", "[add", "[put", "[type", "here>", "here&gt;", "&#123;", "&lcub;",
     ),
+    "filler": ("sample", "dummy", "placeholder", "demo ", "text", "double-click", "goes", "comes", "here", "soon", "in this ", "hier steht", "contenido", "own words", "replaced"),
     "error": (
-        " not ", ">not ", "cannot", "no longer", " been ", "has moved", "refused", "removed", "denied", "blocked", "deleted", "suspended", "switched off", "disabled", "ran out",
-        "fault", "error", "timed out", "too long", "longer than", "out of ", "unavailable", "offline", " is down", "currently", "temporarily", "valid answer", "no database",
-        "http ", "http/", "http-", "status 1", "status 2", "status 3", "status 4", "status 5", "status:", "code:", "code 1", "code 2", "code 3", "code 4", "code 5", ">4", ">5", "> 4", "> 5",
-        "fehler", "erreur", "warning", "problem", "oops", "sorry", "gateway", "forbidden", "went wrong", "something broke", "not find", "rights", "permission", "traceback",
-        "stack trace", "used on nothing", "no existe", "encontrada", "introuvable", "n'existe", "gefunden", "gibt es nicht", "verfügbar",
+        "not ", "cannot", "no longer", "been ", "has moved", "refused", "removed", "denied", "blocked", "deleted", "suspended", "switched off", "disabled", "ran out", "fault", "error",
+        "timed out", "too long", "longer than", "out of ", "unavailable", "offline", "is down", "currently", "temporarily", "valid answer", "no database", "fehler", "erreur", "warning",
+        "problem", "oops", "sorry", "gateway", "forbidden", "went wrong", "something broke", "traceback", "stack trace", "used on nothing", "no existe", "encontrada", "introuvable",
+        "n'existe", "gefunden", "gibt es nicht", "verfügbar",
     ),
-    "scripts": ("javascript", "java script", " js", ">js", "scripts", "scripting", "client-side", " script"),
+    "scripts": ("javascript",),
 }
+#: LOREM by first letters, which is quicker to reject.
+_LATIN = "|".join(f"{c}(?:{'|'.join(w[1:] for w in LOREM.split('|') if w[0] == c)})" for c in sorted({w[0] for w in LOREM.split("|")}))
+#: Or a match of this.  Where half of three words or more are filler, two such words have at most two others between them.
+TRIGGER_PATTERNS = {
+    "placeholder": r"\*(?:\s|&nbsp;)*+\|",
+    "filler": rf"(?<!\p{{L}})(?:{_LATIN})[^\p{{L}}\n]++(?:\p{{L}}++[^\p{{L}}\n]++){{0,2}}(?:{_LATIN})(?!\p{{L}})",
+    "error": r"(?:http|status|code)[^\p{L}\p{N}]{0,3}[1-5]\d\d\b|(?<![\p{L}\p{N}])[45]\d\d\b",
+    "scripts": r"(?:java ?script|js|scripts?|scripting)\b",
+}
 #: A heading of one or two words and up to so many letters counts only if it is residue itself.
 SHORT = 30
 #: Scripts without blanks between words; their sentences are never headings by the number of words.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
-SLOT = r"\{(?:[0-9]{1,2}|[a-z][a-z0-9]*(?:[_.][a-z0-9]+)*)\}"
 
 _BLOCK = r"</?(?:p|div|h[1-6]|li|ul|ol|dl|dt|dd|table|tr|td|th|section|article|main|aside|header|footer|nav|center|hr|br|body|html|head|title|form|blockquote|figure)\b[^>]*>"
 
@@ -135,6 +137,10 @@ def _text(col: Column) -> Column:
     """Lines of visible text of a piece of html."""
     t = F.regexp_replace(F.regexp_replace(col, r"\s+", " "), "(?i)" + _BLOCK, "\n")
     t = F.regexp_replace(t, r"</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>", "")
+    return let(t, lambda x: F.when(x.contains("&"), _decoded(x)).otherwise(x))
+
+
+def _decoded(t: Column) -> Column:
     for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#0?39;|&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&#123;|&lcub;", "{"), ("&#125;|&rcub;", "}"), ("&amp;", "&")):
         t = F.regexp_replace(t, name, ch)
     return t
@@ -162,12 +168,12 @@ def _unscripted(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|template|svg|iframe|object)\b[^>]*>.*?</\1\s*>", " ")
 
 
-def _triggers(html: Column) -> Column:
-    """Which kinds of residue html without scripts may hold, as an array of flags in the order of TRIGGERS."""
-    lists = [F.array(*[F.lit(t) for t in words]) for words in TRIGGERS.values()]
-    # the lambda binds the lower-case text, which is then made once a page
-    flags = F.transform(F.array(F.lower(html)), lambda low: F.array(*[F.exists(words, lambda t: low.contains(t)) for words in lists]))[0]
-    return F.transform(flags, lambda x, i: x | ((i == 0) & html.rlike(SLOT)))
+def _triggers(shown: Column, content: Column) -> Column:
+    """Which kinds of residue a page may hold, as an array of flags in the order of TRIGGERS; ``shown``: html for placeholders, ``content``: the text that is judged."""
+    low = [F.lower(F.regexp_replace(shown, r"</?[a-zA-Z][^>]*>|<![^>]*>", "")), F.lower(content)]
+    has = lambda t, k: F.exists(F.array(*[F.lit(x) for x in TRIGGERS[k]]), lambda x: t.contains(x)) | t.rlike(TRIGGER_PATTERNS[k])
+    # the lambda binds the lower-case texts, which are then made once a page
+    return F.transform(F.array(F.struct(low[0].alias("s"), low[1].alias("c"))), lambda t: F.array(*[has(t["s" if k == "placeholder" else "c"], k) for k in TRIGGERS]))[0]
 
 
 def _stage(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
@@ -178,17 +184,19 @@ def _stage(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 def inspect(rows: DataFrame, html: str = "html", every: bool = False) -> DataFrame:
     """row_id with ``placeholder``, ``filler``, ``error`` and ``scripts`` (booleans) of each row with residue (or, if ``every``, with html)."""
     df = rows.where(F.col(html).isNotNull()).select("row_id", F.col(html).alias("html"))
-    all_kinds = F.array(*[F.lit(True)] * len(TRIGGERS))
-    look = F.transform(F.array(_unscripted(F.col("html"))), lambda h: F.struct(h.alias("h"), (all_kinds if every else _triggers(h)).alias("may")))
+    df = _stage(df, ["row_id"], u=_unscripted(F.col("html")))
+    h = F.regexp_replace("u", r"(?is)<!--.*$|<(?:script|style|template|svg|iframe|object)\b.*$", " ")
+    notice = F.array_join(F.regexp_extract_all("u", F.lit(r"(?is)<noscript\b[^>]*>(.*?)</noscript\s*>"), 1), "\n")
+    df = _stage(df, ["row_id"], notice=notice, h=_cut(h, "noscript"))
+    content = _text(_cut(F.regexp_replace(F.col("h"), r"(?is)<a\b[^>]*>.*?</a\s*>", " "), "title|nav|footer|button|select|option|label"))
+    df = _stage(df, ["row_id", "notice"], shown=_cut(F.col("h"), "code|pre|kbd|samp|xmp|textarea|listing"), content=content)
+    flags = F.array(*[F.lit(True)] * len(TRIGGERS)) if every else F.transform(_triggers(F.col("shown"), F.col("content")), lambda x, i: x | ((i == list(TRIGGERS).index("scripts")) & (F.col("notice") != "")))
+    look = F.transform(F.array(flags), lambda m: F.struct(m.alias("may"), F.col("notice").alias("notice"), F.col("shown").alias("shown"), F.col("content").alias("content")))
     df = df.select("row_id", F.explode(F.filter(look, lambda x: F.array_contains(x["may"], True))).alias("x")).select("row_id", "x.*")
     may = dict(zip(TRIGGERS, (F.col("may")[i] for i in range(len(TRIGGERS)))))
-    h = F.regexp_replace("h", r"(?is)<!--.*$|<(?:script|style|template|svg|iframe|object)\b.*$", " ")
-    notice = F.array_join(F.regexp_extract_all("h", F.lit(r"(?is)<noscript\b[^>]*>(.*?)</noscript\s*>"), 1), "\n")
-    df = _stage(df, ["row_id", "may"], notice=notice, h=_cut(h, "noscript"))
-    shown = F.when(may["placeholder"], _text(_cut(F.col("h"), "code|pre|kbd|samp|xmp|textarea|listing")))
-    content = _text(_cut(F.regexp_replace(F.col("h"), r"(?is)<a\b[^>]*>.*?</a\s*>", " "), "title|nav|footer|button|select|option|label"))
     judged = may["filler"] | may["error"] | may["scripts"]
-    df = _stage(df, ["row_id", "may", "notice"], placeholder=F.coalesce(shown.rlike(PLACEHOLDER), F.lit(False)), sentences=F.when(judged, _sentences(content)))
+    shown = F.when(may["placeholder"], _text(F.col("shown")))
+    df = _stage(df, ["row_id", "may", "notice"], placeholder=F.coalesce(shown.rlike(PLACEHOLDER), F.lit(False)), sentences=F.when(judged, _sentences(F.col("content"))))
     filler = lambda s: may["filler"] & _is_filler(s) & ~s.rlike(TALK)
     error = lambda s: may["error"] & _is_error(s) & ~s.rlike(TALK)
     script = lambda s: may["scripts"] & s.rlike(SCRIPTS) & ~s.rlike(TALK)

@@ -1,6 +1,7 @@
 """Visual forms, template residue, token ids and reading levels."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -92,6 +93,23 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+BROKEN = (
+    "The page could not be found.", "Not found", "Page not found", "This site is down", "Is down.", "The account has been suspended.", "This server is out of order.", "HTTP: 404", "(404) Nothing here for now", "Status #500", "The page has moved.",
+    "We could not find it.", "Demo text", "Put your words:here", "Add your story in this box", "Sed ut est qui esse enim", "Please enable JS now", "Allow client-side scripts", "La page n&#39;existe plus", "<b>{</b>{ name }}", "[<i>Your</i> name]",
+)
+
+
+def test_triggers_see_breaks_and_tags(spark):
+    forms = [lambda t: t, lambda t: t.replace(" ", "\n"), lambda t: t.replace(" ", "\r\n\t"), lambda t: t.replace(" ", "&nbsp;"), lambda t: re.sub(r" (\w+)", r" <b>\1</b>", t), lambda t: t.replace(" ", "<a href='/x'>x</a>"), lambda t: re.sub(r"(\w)(\w)", r"\1<i>\2</i>", t, count=1)]
+    pages = [f"<html><body><p>{f(t)}</p></body></html>" for t in BROKEN for f in (forms if "<" not in t else forms[:4])]
+    df = spark.createDataFrame(list(enumerate(pages)), "row_id bigint, html string")
+    every = {r.row_id for r in residue.inspect(df, every=True).where("placeholder or filler or error or scripts").collect()}
+    got = {r.row_id for r in residue.residue(df).collect()}
+    assert got == every, [pages[i] for i in got ^ every]
+    assert all(f"<html><body><p>{t}</p></body></html>" in {pages[i] for i in got} for t in BROKEN), [t for t in BROKEN if f"<html><body><p>{t}</p></body></html>" not in {pages[i] for i in got}]
+    assert len(got) > len(pages) * 0.8
+
+
 def test_residue_of_long_pages(spark):
     df = spark.createDataFrame([(1, html(REAL * 3000)), (2, html(REAL * 3000 + "<p>{{ name }}</p>")), (2, html("{{ name }}"))], "row_id bigint, html string")
     assert [r.row_id for r in residue.residue(df).collect()] == [2, 2]
