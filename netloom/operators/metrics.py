@@ -61,7 +61,11 @@ def operating_point(df: DataFrame, target: float, by: Sequence[str] = (), min_ne
     Without a usable threshold the recall is 0 and the threshold the largest
     double.
     """
-    c = curve(df, by, weight)
+    return point(curve(df, by, weight), target, by, min_negatives)
+
+
+def point(c: DataFrame, target: float, by: Sequence[str] = (), min_negatives: int = 10) -> DataFrame:
+    """The same from a :func:`curve`."""
     ok = (F.col("fp") <= target * F.col("n_neg") + 1e-9 * F.greatest(F.col("n_neg"), F.lit(1.0))) & (F.col("tp") > 0)
     best = F.max(F.when(ok, F.struct(F.col("tp"), F.col("score"), F.col("fp"))))
     n, p = F.max("n_neg"), F.max("n_pos")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.functions.urls import unit_hash
 from netloom.operators import metrics as M
+from netloom.operators.skew import salted_join
+from netloom.plans.materialise import materialise
+from netloom.plans.stages import let
 
 
 def pooled(cal: DataFrame, target: float) -> DataFrame:
@@ -60,39 +64,56 @@ def ucb_binom(cal: DataFrame, target: float, confidence: float = 0.95) -> DataFr
     return out.select(F.lit("ucb_binom").alias("rule"), F.coalesce("threshold", F.lit(M.NO_ALARM)).alias("threshold"), F.when(F.col("threshold") < M.NO_ALARM, F.col("set_by")).otherwise("uncertifiable (cal too small)").alias("set_by"))
 
 
-def ucb_boot(cal: DataFrame, target: float, confidence: float = 0.95, n_boot: int = 50, min_negatives: int = 10, seed: int = 7) -> DataFrame:
-    """Per source the upper quantile of thresholds over domain resamples.
+def boot_curves(cal: DataFrame, n_boot: int = 200, seed: int = 7) -> DataFrame:
+    """The curve of each source and replicate ``b`` of a domain bootstrap, over all positives; written once for all targets.
 
     Each domain gets a Poisson(1) count from the hash of replicate and domain,
     which stands for drawing domains with replacement.
     """
-    from netloom.functions.urls import unit_hash
-
-    eligible = M.operating_point(cal, target, ["source"], min_negatives).where("not granularity_limited").select("source")
-    neg = cal.where("label = 0").join(F.broadcast(eligible), "source", "left_semi").groupBy("source", "domain", "score").agg(F.count("*").alias("n"))
-    neg = neg.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = unit_hash(F.col("domain"), F.col("b") + F.lit(seed * 1000))
-    count, edge, p = F.lit(0), 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 8):
-        count = F.when(u >= edge, F.lit(k)).otherwise(count)
-        p /= k
-        edge += p
-    neg = neg.groupBy("source", "b", "score").agg(F.sum(F.col("n") * count).cast("double").alias("w")).withColumn("label", F.lit(0))
+    domain = F.coalesce("domain", F.lit(""))
+    neg = cal.where("label = 0").groupBy("source", domain.alias("domain"), "score").agg(F.count("*").alias("n"))
+
+    def drawn(b: Column) -> Column:
+        def count(u: Column) -> Column:
+            out, edge, p = F.lit(0), 0.36787944117144233, 0.36787944117144233
+            for k in range(1, 8):
+                out = F.when(u >= edge, F.lit(k)).otherwise(out)
+                p /= k
+                edge += p
+            return out
+
+        return let(unit_hash(F.col("domain"), b + F.lit(seed * 1000)), count)
+
+    # one hash a domain and replicate, whatever the number of its scores
+    draws = neg.select("domain").distinct().withColumn("draws", F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), drawn))
+    neg = salted_join(neg, draws, ["domain"]).select("source", "score", "n", F.posexplode("draws").alias("b", "k")).where("k > 0")
+    neg = neg.groupBy("source", "b", "score").agg(F.sum(F.col("n") * F.col("k")).cast("double").alias("w")).withColumn("label", F.lit(0))
+    neg = materialise(neg, "boot-negatives")
     pos = cal.where("label = 1").groupBy("score").agg(F.count("*").cast("double").alias("w")).withColumn("label", F.lit(1))
     groups = F.broadcast(neg.select("source", "b").distinct())
     both = neg.select("source", "b", "score", "label", "w").unionByName(pos.join(groups).select("source", "b", "score", "label", "w"))
-    points = M.operating_point(both, target, ["source", "b"], weight="w")
+    return materialise(M.curve(both, ["source", "b"], "w"), "boot-curves")
+
+
+def ucb_boot(cal: DataFrame, target: float, confidence: float = 0.95, n_boot: int = 200, min_negatives: int = 10, seed: int = 7, curves: DataFrame | None = None) -> DataFrame:
+    """Per source the upper quantile of thresholds over domain resamples; ``curves``: those of :func:`boot_curves`, if at hand."""
+    eligible = M.operating_point(cal, target, ["source"], min_negatives).where("not granularity_limited").select("source")
+    curves = boot_curves(cal, n_boot, seed) if curves is None else curves
+    points = M.point(curves.join(F.broadcast(eligible), "source", "left_semi"), target, ["source", "b"])
     upper = points.groupBy("source").agg(F.sort_array(F.collect_list("threshold")).alias("t")).select(F.col("source").alias("set_by"), F.element_at("t", F.least(F.size("t"), F.ceil(F.lit(confidence) * (F.size("t") - 1)).cast("int") + 1)).alias("threshold"))
     every = upper.select("threshold", "set_by").unionByName(pooled(cal, target).select("threshold", "set_by"))
     return every.agg(F.max(F.struct("threshold", "set_by")).alias("b")).select(F.lit("ucb_boot").alias("rule"), "b.threshold", "b.set_by")
 
 
-def rules(cal: DataFrame, targets: Sequence[float], min_negatives: int = 10, confidence: float = 0.95, n_boot: int = 50) -> DataFrame:
+def rules(cal: DataFrame, targets: Sequence[float], min_negatives: int = 10, confidence: float = 0.95, n_boot: int = 200) -> DataFrame:
     """(target_fpr, rule, threshold, set_by) of all five rules."""
+    cal = materialise(cal.select("source", "domain", "label", "score"), "cal")
+    curves = boot_curves(cal, n_boot)
     out = None
     for t in targets:
-        for one in (pooled(cal, t), worst_source(cal, t, min_negatives), balanced(cal, t), ucb_binom(cal, t, confidence), ucb_boot(cal, t, confidence, n_boot, min_negatives)):
-            one = one.select(F.lit(t).alias("target_fpr"), "rule", "threshold", "set_by")
+        for one in (pooled(cal, t), worst_source(cal, t, min_negatives), balanced(cal, t), ucb_binom(cal, t, confidence), ucb_boot(cal, t, confidence, n_boot, min_negatives, curves=curves)):
+            # written one by one: a single plan of all rules and targets outgrows the driver
+            one = materialise(one.select(F.lit(t).alias("target_fpr"), "rule", "threshold", "set_by"), "rule")
             out = one if out is None else out.unionByName(one)
     return out
 

@@ -26,6 +26,8 @@ from netloom.streaming import index
 
 Query = Callable[[SparkSession, str], DataFrame]
 PRIORITY = ("live", "kitewatch", "hooktrap", "siteledger", "urlbarn", "popular", "tenantscan", "oldnets", "natsites", "pagecast")
+#: False-positive rates of the threshold rules: the reference's two and a coarse one.
+TARGETS = (0.05, 0.01, 0.001)
 HELDOUT, EVAL_ONLY, ORIGINS, FRACTIONS = "oldnets", ("natsites",), ("late_test",), {"live": 0.1}
 
 
@@ -252,8 +254,8 @@ def queries() -> dict[str, Query]:
         "metric_eta_squared": lambda s, d: metrics.eta_squared(_scored(s, d), "score", "source", "label").select(F.round("eta_squared", 9).alias("eta_squared")),
         "metric_depth_weights": lambda s, d: metrics.depth_weights(_corpus(s, d)).groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 9).alias("weight")),
         "metric_medians": lambda s, d: metrics.medians(_scored(s, d), ["source"], ["score"]).select("source", *[F.round(f"score_{k}", 9).alias(f"score_{k}") for k in ("median", "min", "max")]),
-        "threshold_rules": lambda s, d: thresholds.rules(_scored(s, d), [0.05], n_boot=20),
-        "threshold_costs": lambda s, d: thresholds.evaluate_rules(_scored(s, d), thresholds.rules(_scored(s, d), [0.05], n_boot=20)),
+        "threshold_rules": lambda s, d: thresholds.rules(_scored(s, d), TARGETS),
+        "threshold_costs": lambda s, d: thresholds.evaluate_rules(_scored(s, d), thresholds.rules(_scored(s, d), TARGETS)),
         "list_keys": lambda s, d: it(s, d).select("row_id", lists.list_url_key(F.col("url")).alias("url_key"), lists.list_domain_key(F.col("url")).alias("domain_key")),
         "list_zones": lambda s, d: lists.learn_zones(*_list_inputs(s, d)[:3])[0],
         "list_build": lists_of,

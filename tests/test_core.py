@@ -1,6 +1,8 @@
 """Core operators on small hand-made tables and against brute force."""
 
+import hashlib
 import itertools
+import math
 import random
 
 import numpy as np
@@ -12,7 +14,7 @@ from netloom.features import html as H
 from netloom.features import url as A
 from netloom.features.lists import Lists
 from netloom.functions import urls as U
-from netloom.operators import attacks, corpus, dedup, graph, lists, metrics, positions, skew, splits, verdict
+from netloom.operators import attacks, corpus, dedup, graph, lists, metrics, positions, skew, splits, thresholds, verdict
 from netloom.schema import SchemaError, label_of, validate
 from netloom.streaming import index
 
@@ -245,3 +247,33 @@ def test_attacks_are_fixed_by_seed(spark):
         assert attacks.rewrite(f, u, 1) == attacks.rewrite(f, u, 1) != u
     assert attacks.rewrite("homoglyph", None) is None and attacks.rewrite("tld", "http://1.2.3.4/") is None
     assert attacks.look_alike("digit", "paypal", 1) != "paypal"
+
+
+def test_bootstrap_rule_of_all_replicates(spark):
+    rng = random.Random(5)
+    cal = [("ab"[i % 2], f"d{rng.randrange(60)}.test", 0, round(rng.random(), 2)) for i in range(1200)] + [("a", f"p{i}.test", 1, round(0.4 + 0.6 * rng.random(), 2)) for i in range(200)]
+    df = spark.createDataFrame(cal, "source string, domain string, label int, score double")
+
+    def draws(b, domain):
+        u, k, p, edge = int(hashlib.md5(f"{7000 + b}|{domain}".encode()).hexdigest()[:8], 16) / 2**32, 0, math.exp(-1), math.exp(-1)
+        while u >= edge and k < 7:
+            k, p = k + 1, p / (k + 1)
+            edge += p
+        return k
+
+    def threshold(negatives, target):
+        total = sum(negatives.values())
+        ok = [s for s in {s for _, _, y, s in cal if y} if sum(w for x, w in negatives.items() if x >= s) <= target * total + 1e-9 * max(total, 1)]
+        return min(ok) if ok else metrics.NO_ALARM
+
+    def weighed(source, b=None):
+        out = {}
+        for s, d, y, x in cal:
+            if y == 0 and source in ("", s):
+                out[x] = out.get(x, 0) + (1 if b is None else draws(b, d))
+        return out
+
+    got = {r.target_fpr: r.threshold for r in thresholds.rules(df, [0.1, 0.05]).where("rule = 'ucb_boot'").collect()}
+    for target in (0.1, 0.05):
+        upper = [sorted(threshold(weighed(s, b), target) for b in range(200))[math.ceil(0.95 * 199)] for s in "ab"]
+        assert got[target] == max([*upper, threshold(weighed(""), target)])
