@@ -11,7 +11,7 @@ from netloom.functions.urls import unit_hash
 from netloom.operators import metrics as M
 from netloom.operators.skew import salted_join
 from netloom.plans.materialise import materialise
-from netloom.plans.stages import let
+from netloom.plans.stages import once
 
 
 def pooled(cal: DataFrame, target: float) -> DataFrame:
@@ -73,19 +73,17 @@ def boot_curves(cal: DataFrame, n_boot: int = 200, seed: int = 7) -> DataFrame:
     domain = F.coalesce("domain", F.lit(""))
     neg = cal.where("label = 0").groupBy("source", domain.alias("domain"), "score").agg(F.count("*").alias("n"))
 
-    def drawn(b: Column) -> Column:
-        def count(u: Column) -> Column:
-            out, edge, p = F.lit(0), 0.36787944117144233, 0.36787944117144233
-            for k in range(1, 8):
-                out = F.when(u >= edge, F.lit(k)).otherwise(out)
-                p /= k
-                edge += p
-            return out
-
-        return let(unit_hash(F.col("domain"), b + F.lit(seed * 1000)), count)
+    def count(u: Column) -> Column:
+        out, edge, p = F.lit(0), 0.36787944117144233, 0.36787944117144233
+        for k in range(1, 8):
+            out = F.when(u >= edge, F.lit(k)).otherwise(out)
+            p /= k
+            edge += p
+        return out
 
     # one hash a domain and replicate, whatever the number of its scores
-    draws = neg.select("domain").distinct().withColumn("draws", F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), drawn))
+    draws = once(neg.select("domain").distinct(), us=F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda b: unit_hash(F.col("domain"), b + F.lit(seed * 1000))))
+    draws = draws.select("domain", F.transform("us", count).alias("draws"))
     neg = salted_join(neg, draws, ["domain"]).select("source", "score", "n", F.posexplode("draws").alias("b", "k")).where("k > 0")
     neg = neg.groupBy("source", "b", "score").agg(F.sum(F.col("n") * F.col("k")).cast("double").alias("w")).withColumn("label", F.lit(0))
     neg = materialise(neg, "boot-negatives")
