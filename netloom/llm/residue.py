@@ -3,7 +3,9 @@
 Everything is built from JVM expressions over the whole html text.  Scripts,
 styles, comments, ``noscript`` and code samples are cut out; what a reader sees
 is split into sentences.  A placeholder is found by the grammar of its
-delimiters anywhere in the visible text.  Filler, error messages and demands
+delimiters anywhere in the visible text; one in a sentence that teaches
+templates, or right after such a sentence, is an example, and so are all on a
+page of mostly examples.  Filler, error messages and demands
 for scripts are judged by density: they must make up at least half of the
 letters that say anything, navigation, footers, headings of one or two words
 and stock phrases such as "try again later" left aside.  Sentences that talk
@@ -21,24 +23,26 @@ from pyspark.sql import functions as F
 
 from netloom.plans.stages import let, once
 
-_N = r"[A-Za-z_][A-Za-z0-9_.\- ]{0,60}"
-#: One grammar for each kind of delimiter.
+# Names, and what may stand between two delimiters up to the closing one; possessive, so that long texts cost one pass.
+_N = r"[A-Za-z_][\w.\- ]*+"
+#: One grammar for each kind of delimiter, read up to the matching closing one.
 PLACEHOLDERS = (
-    r"\{\{\{?\s*[#/&^]?\s*" + _N + r"(?:\|[^{}\n]{0,60})?\s*\}\}",
-    r"(?<![A-Za-z0-9])[$#]\{\s*" + _N + r"\}",
+    r"\{\{\{?[~\-]?\s*[#/&^>!]?\s*[\p{L}_$\"'@][^{}\n]*+\}\}",
+    r"\$\{\s*[A-Za-z_][^{}\n]*+\}",
+    r"(?<![A-Za-z0-9])#\{\s*[A-Za-z_][^{}\n]*+\}",
     r"\$\[" + _N + r"\]",
     r"\[\[\s*" + _N + r"\]\]",
-    r"\{%-?\s*[a-z]+[^%\n]{0,80}%\}",
-    r"<%[=-]?\s*[^%\n]{1,80}%>",
-    r"<\?(?:php|=)[^\n]{0,120}?\?>",
-    r"%%[A-Za-z][A-Za-z0-9_.]{0,60}%%",
-    r"@@[A-Za-z][A-Za-z0-9_.]{0,60}@@",
-    r"\*\s*\|\s*[A-Z][A-Z0-9_.:]{0,60}\s*\|\s*\*",
-    r"(?<![A-Za-z0-9_])__[A-Z][A-Z0-9_.]{0,60}?__(?![A-Za-z0-9_])",
-    r"%\([a-z_][a-z0-9_.]{0,60}\)[sdif]",
-    r"(?<![{$#\w])\{(?:[0-9]{1,2}|[a-z][a-z0-9]*(?:[_.][a-z0-9]+)*)\}(?!\})",
-    r"\[(?:(?i:your|insert|enter|add|put|type)\s)[^\]\[\n]{1,60}\]",
-    r"<[A-Za-z][A-Za-z ]{1,50} (?:goes )?here>",
+    r"\{%[-+]?\s*[a-z](?:[^%{\n]|%(?!\})|\{(?!%))*+%\}",
+    r"<%[=\-#]?(?:[^%<\n]|%(?!>)|<(?!%))++%>",
+    r"<\?(?:php|=)(?:[^?<\n]|\?(?!>)|<(?!\?))*+\?>",
+    r"%%[A-Za-z][\w.]*+%%",
+    r"@@[A-Za-z][\w.]*+@@",
+    r"\*\s*\|\s*[A-Z][A-Z0-9_.:]*+\s*\|\s*\*",
+    r"(?<![A-Za-z0-9_])__[A-Z](?:[A-Z0-9.]|_(?!_))*+__(?![A-Za-z0-9_])",
+    r"%\([A-Za-z_][\w.]*+\)[sdif]",
+    r"(?<![{$#\w])\{(?:[0-9]{1,2}|[A-Za-z_]\w*+(?:\.\w++)*+(?:\[[\w\"']++\])?)\}(?!\})",
+    r"\[(?:(?i:your|insert|enter|add|put|type)\s)[^\]\[\n]++\]",
+    r"<[A-Za-z][A-Za-z ]* (?:goes )?here>",
 )
 PLACEHOLDER = "|".join(PLACEHOLDERS)
 
@@ -87,8 +91,19 @@ SCRIPTS = (
     r"(?:aktivieren|einschalten|erlauben) sie (?:bitte )?javascript|javascript (?:zu )?(?:aktivieren|einschalten)|activer (?:les scripts|javascript)|"
     r"(?:activa|active|activar|habilite|habilita|habilitar) javascript|(?:ative|habilite) o? ?javascript"
 )
-#: A sentence that talks about such things instead of being one.
-TALK = r"(?i)(?<![/\w])(?:how to|step by step|guide|tutorial|library|lesson|lecture|our class|article|course|workshop|chapter|museum|exhibit)\b"
+_LESSON = r"(?:guide|tutorial|library|lesson|lecture|class|article|course|workshop|chapter|book|museum|exhibit|exhibition|section|post)"
+#: A sentence that talks about such things instead of being one: it says how something is done, or what a lesson or a quoted text says.
+TALK = (
+    rf"(?i)\bhow (?:to|you|we|one)\b|\bstep by step\b|\b{_LESSON}\b[^.!?]{{0,80}}?\b(?:shows?|explains?|teach(?:es)?|tells?|describes?|covers?|looks? at|discuss(?:es)?|compares?|is about|introduces?)\b|"
+    r"\b(?:message|phrase|sentence|words?|text|heading)s? [\"“„«]|[\"”»] (?:means?|says|appears|is shown)\b"
+)
+#: A sentence that teaches templates; a spot in it or right after it is an example.
+TEACH = (
+    rf"{TALK}|\b(?:syntax|placeholders?|templat(?:e|es|ing)|variables?|expressions?|interpolat\w+|(?:is|are|gets?|will be) (?:replaced|substituted|filled in) (?:by|with)|stands? for|renders?|"
+    r"for example|code samples?)\b|\be\.g\."
+)
+#: From so many examples on, a page teaches templates if they outnumber the other spots.
+EXAMPLES = 3
 #: Stock phrases that say nothing about the page; they count neither for nor against.
 STOCK = (
     r"(?i)^[^\p{L}\p{N}]*+(?:(?:please )?(?:try|retry|load|reload|come back)\b.{0,60}|retry in .{0,30}|go back to .{0,40}|check the spelling.{0,40}|contact .{0,30}|"
@@ -164,6 +179,24 @@ def _is_error(s: Column) -> Column:
     return (s.rlike(FAULT) & s.rlike(ERROR_SENTENCE)) | s.rlike(ERROR_LINE)
 
 
+def _slots(text: Column) -> Column:
+    """Of each sentence of ``text``, if it holds a spot at all: whether it holds one, and whether it is an example, taught there or right before."""
+
+    def judged(ss: Column) -> Column:
+        marks = F.transform(ss, lambda s: F.struct(s.rlike(PLACEHOLDER).alias("slot"), s.rlike(TEACH).alias("teach")))
+        before = lambda ms, i: F.coalesce(F.get(ms, i - 1)["teach"] & ~F.get(ms, i - 1)["slot"], F.lit(False))
+        return let(marks, lambda ms: F.transform(ms, lambda m, i: F.struct(m["slot"].alias("slot"), (m["teach"] | before(ms, i)).alias("taught"))))
+
+    return let(text, lambda t: F.when(t.rlike(PLACEHOLDER), let(_sentences(t), judged)))
+
+
+def _unfilled(slots: Column) -> Column:
+    """Whether a page has a spot that isn't an example; one that the sentence split cut in two counts as none."""
+    open_ = F.size(F.filter(slots, lambda x: x["slot"] & ~x["taught"]))
+    taught = F.size(F.filter(slots, lambda x: x["slot"] & x["taught"]))
+    return F.coalesce(slots.isNotNull() & ((open_ + taught == 0) | ((open_ > 0) & ~((taught >= EXAMPLES) & (taught > open_)))), F.lit(False))
+
+
 def _unscripted(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|template|svg|iframe|object)\b[^>]*>.*?</\1\s*>", " ")
 
@@ -195,8 +228,8 @@ def inspect(rows: DataFrame, html: str = "html", every: bool = False) -> DataFra
     df = df.select("row_id", F.explode(F.filter(look, lambda x: F.array_contains(x["may"], True))).alias("x")).select("row_id", "x.*")
     may = dict(zip(TRIGGERS, (F.col("may")[i] for i in range(len(TRIGGERS)))))
     judged = may["filler"] | may["error"] | may["scripts"]
-    shown = F.when(may["placeholder"], _text(F.col("shown")))
-    df = _stage(df, ["row_id", "may", "notice"], placeholder=F.coalesce(shown.rlike(PLACEHOLDER), F.lit(False)), sentences=F.when(judged, _sentences(F.col("content"))))
+    df = _stage(df, ["row_id", "may", "notice"], slots=F.when(may["placeholder"], _slots(_text(F.col("shown")))), sentences=F.when(judged, _sentences(F.col("content"))))
+    df = df.select("row_id", "may", "notice", _unfilled(F.col("slots")).alias("placeholder"), "sentences")
     filler = lambda s: may["filler"] & _is_filler(s) & ~s.rlike(TALK)
     error = lambda s: may["error"] & _is_error(s) & ~s.rlike(TALK)
     script = lambda s: may["scripts"] & s.rlike(SCRIPTS) & ~s.rlike(TALK)
