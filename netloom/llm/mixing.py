@@ -14,8 +14,9 @@ ways to settle them, the one nearest to the wanted tokens is taken.
 
 Defined results: null and empty texts have no tokens and are never used;
 sources without a target get no share; a target without documents is reported
-with no tokens; the spelling of a source doesn't matter; the same input gives
-the same mix; repeated doc_ids count as documents of their own.
+with no tokens; the spelling of a source doesn't matter; the same rows give the
+same mix, however they are ordered or partitioned; repeated doc_ids count as
+documents of their own.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from netloom.functions.text import plain_name
 from netloom.llm.tokens import VOCABULARY, encode
 from netloom.plans.materialise import materialise
 
+#: So many copies of a document are numbered in one row.
+COPIES = 1024
 #: Documents of one block, which flies in one task.
 BLOCK = 20_000
 #: A document of more than this share of its block's wanted tokens is settled against all others.
@@ -123,7 +126,7 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["doc_id", "copy"]).reset_index(drop=True)
+    pdf = pdf.sort_values(["doc_id", "n_tokens", "copy"]).reset_index(drop=True)
     seed = zlib.crc32(f"{pdf.source[0]}|{pdf.block[0]}|{pdf.level[0]}".encode())
     p = flight(pdf.p.to_numpy(), pdf.n_tokens.to_numpy(), np.random.default_rng(seed))
     if pdf.final[0]:
@@ -139,7 +142,7 @@ def cube(docs: DataFrame, counts: dict[str, int]) -> DataFrame:
     while True:
         blocks = {s: max(1, -(-n // BLOCK)) for s, n in counts.items()}
         plan = F.broadcast(spark.createDataFrame([(s, n, n == 1) for s, n in blocks.items()] or [("", 1, True)], "source string, blocks bigint, final boolean"))
-        ready = left.join(plan, "source").withColumn("block", F.pmod(F.xxhash64("doc_id", "copy", F.lit(level)), F.col("blocks"))).withColumn("level", F.lit(level))
+        ready = left.join(plan, "source").withColumn("block", F.pmod(F.xxhash64("doc_id", "n_tokens", "copy", F.lit(level)), F.col("blocks"))).withColumn("level", F.lit(level))
         flown = materialise(ready.select("doc_id", "copy", "source", "n_tokens", "p", "block", "level", "final").groupBy("source", "block").applyInPandas(_fly, schema), f"cube-{level}")
         settled = flown.where("p = 0 or p = 1")
         done = settled if done is None else done.unionByName(settled)
@@ -151,10 +154,19 @@ def cube(docs: DataFrame, counts: dict[str, int]) -> DataFrame:
 
 
 def sizes(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, copy, source, n_tokens) of documents with tokens; ``copy`` tells repeated doc_ids apart."""
+    """(doc_id, copy, source, n_tokens) of documents with tokens; ``copy`` numbers the rows that agree in all the rest, so it doesn't depend on their order.
+
+    Equal rows are counted first; the few that repeat more than ``COPIES``
+    times are spread over all tasks before they are numbered.
+    """
     t = docs.select(F.struct("doc_id", plain_name(F.col("source")).alias("source")).alias("k"), "text")
     t = encode(t, key="k", path=path, count_only=True).where("n_tokens > 0").select("k.*", "n_tokens")
-    return t.select("doc_id", F.monotonically_increasing_id().alias("copy"), "source", "n_tokens")
+    each = materialise(t.groupBy("doc_id", "source", "n_tokens").agg(F.count("*").alias("n")), "p9-texts")
+    number = lambda lo, hi: F.explode(F.sequence(lo, hi)).alias("copy")
+    few = each.where(F.col("n") <= COPIES).select("doc_id", "source", "n_tokens", number(F.lit(1).cast("bigint"), F.col("n")))
+    many = each.where(F.col("n") > COPIES).select("doc_id", "source", "n_tokens", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})")).alias("run"))
+    many = many.repartition("doc_id", "run").select("doc_id", "source", "n_tokens", number(F.col("run") * COPIES + 1, F.least(F.col("n"), (F.col("run") + 1) * COPIES)))
+    return few.unionByName(many).select("doc_id", "copy", "source", "n_tokens")
 
 
 def plan(docs: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, list[tuple]]:
