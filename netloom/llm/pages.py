@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions.text import plain_name
 from netloom.llm.visual import canonical
+from netloom.operators.dedup import bands, blocks_of, hamming
 from netloom.operators.skew import hot_keys, salted_join
 from netloom.plans.materialise import materialise
 
@@ -101,35 +102,13 @@ def sides(rows: DataFrame, splits: DataFrame) -> DataFrame:
     )
 
 
-#: From how many distinct values on the 64 bits are cut in 4, 5 and 6 blocks; any three differing bits leave one choice of blocks equal.
-BLOCKS = ((0, 4), (4_000_000, 5), (100_000_000, 6))
-
-
-def _blocks(m: int) -> list[tuple[int, int]]:
-    edges = [64 * i // m for i in range(m + 1)]
-    return list(zip(edges[:-1], edges[1:]))
-
-
 def near_values(values: DataFrame, most: int = 3) -> DataFrame:
-    """Pairs (va, vb) of distinct simhashes, va of the train and vb of the eval side, at most ``most`` bits apart.
-
-    Exact by the pigeonhole principle: of m blocks at most three can differ, so
-    some choice of m-3 blocks is equal in both.  The number of blocks follows
-    the number of values, which changes cost and not the result.
-    """
-    from itertools import combinations
-
-    n = values.count()
-    m = [b for least, b in BLOCKS if n >= least][-1]
-    cut = _blocks(m)
-    v = F.col("v")
-    parts = [F.shiftrightunsigned(v, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in cut]
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.xxhash64(*[parts[j] for j in c]).alias("band")) for i, c in enumerate(combinations(range(m), m - most))])
-    banded = values.select("v", "train", "eval", F.explode(keys).alias("b")).select("v", "train", "eval", "b.t", "b.band")
+    """Pairs (va, vb) of distinct simhashes, va of the train and vb of the eval side, at most ``most`` bits apart; exact."""
+    m = blocks_of(values.count(), most)
+    banded = values.select("v", "train", "eval", F.explode(bands(F.col("v"), m, most)).alias("b")).select("v", "train", "eval", "b.t", "b.band")
     a = banded.where("train").select("t", "band", F.col("v").alias("va"))
     b = banded.where("eval").select("t", "band", F.col("v").alias("vb"))
-    pairs = salted_join(a, b, ["t", "band"]).where(F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))) <= most)
-    return pairs.select("va", "vb").distinct()
+    return salted_join(a, b, ["t", "band"]).where(hamming(F.col("va"), F.col("vb")) <= most).select("va", "vb").distinct()
 
 
 def overlaps(rows: DataFrame, splits: DataFrame) -> DataFrame:
@@ -157,12 +136,36 @@ def overlap_pairs(rows: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def overlap_report(rows: DataFrame, splits: DataFrame) -> DataFrame:
-    """Per split and source of the evaluation rows: rows, rows with an overlap, their share, and pairs."""
-    found = overlaps(rows, splits).groupBy(F.col("eval_id").alias("row_id")).agg(F.count("*").alias("n_pairs"))
-    base = sides(rows, splits).where("eval").select("row_id", "split", "source").distinct()
-    out = base.join(found, "row_id", "left").groupBy("split", "source").agg(
-        F.count("*").alias("n_rows"), F.count("n_pairs").alias("n_leaked"), F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs")
-    )
+    """Per split and source of the evaluation rows: rows, rows with an overlap, their share, and pairs.
+
+    Pairs are counted and never formed: rows of one page, hash and side are a
+    class.  A class overlaps the training rows of its page and those of every
+    near hash, less those that are both.
+    """
+    s = sides(rows, splits).select("row_id", "train", "eval", "split", "source", F.col("html_simhash").alias("v"), *_pair(F.col("page")))
+    # a repeated row counts once
+    s = s.groupBy("row_id", "v", "k1", "k2").agg(F.max("train").alias("train"), F.max("eval").alias("eval"), F.max("split").alias("split"), F.max("source").alias("source"))
+    s = materialise(s, "p2-classes")
+    train = s.where("train").groupBy("k1", "k2", "v").agg(F.count("*").alias("t"))
+    train = materialise(train, "p2-train")
+    evals = materialise(s.where("eval").groupBy("split", "source", "k1", "k2", "v", "train").agg(F.count("*").alias("n")), "p2-eval")
+    values = s.where("v is not null").groupBy("v").agg(F.max("train").alias("train"), F.max("eval").alias("eval"))
+    near = materialise(near_values(materialise(values, "p2-values")), "p2-near")
+    by_page = train.where("k1 is not null").groupBy("k1", "k2").agg(F.sum("t").alias("on_page"))
+    per_value = train.where("v is not null").groupBy(F.col("v").alias("va")).agg(F.sum("t").alias("t"))
+    by_hash = near.join(per_value, "va").groupBy(F.col("vb").alias("v")).agg(F.sum("t").alias("near"))
+    # the training rows that share the page and are near: from the page and hash of the class to the near hashes of that page
+    pages_of = evals.where("k1 is not null and v is not null").select("k1", "k2", "v").distinct()
+    close = salted_join(pages_of, near.select(F.col("vb").alias("v"), "va"), ["v"])
+    twice = salted_join(close, train.where("k1 is not null").select("k1", "k2", F.col("v").alias("va"), "t"), ["k1", "k2", "va"]).groupBy("k1", "k2", "v").agg(F.sum("t").alias("both"))
+    c = salted_join(evals, by_page, ["k1", "k2"], "left")
+    c = salted_join(c, by_hash, ["v"], "left")
+    c = salted_join(c, twice, ["k1", "k2", "v"], "left")
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0).cast("bigint"))
+    # a row of both sides is no pair with itself
+    own = (F.col("train") & (F.col("k1").isNotNull() | F.col("v").isNotNull())).cast("bigint")
+    c = c.withColumn("pairs", zero("on_page") + zero("near") - zero("both") - own)
+    out = c.groupBy("split", "source").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("pairs") > 0, F.col("n")).otherwise(0)).alias("n_leaked"), F.sum(F.col("n") * F.col("pairs")).alias("n_pairs"))
     return out.withColumn("leaked_share", F.col("n_leaked") / F.col("n_rows"))
 
 

@@ -75,7 +75,9 @@ def test_overlaps_against_brute_force(spark):
     got = [tuple(r) for r in pages.overlap_pairs(it, sp).collect()]
     assert set(got) == want and len(got) == len(want)
     rep = pages.overlap_report(it, sp).collect()
-    assert sum(r.n_pairs for r in rep) == len(want) and sum(r.n_rows for r in rep) == len(ev)
+    assert sum(r.n_rows for r in rep) == len(ev)
+    per_eval = {e: {t for t in train if t != e and (min(t, e), max(t, e)) in want} for e in ev}
+    assert sum(r.n_pairs for r in rep) == sum(map(len, per_eval.values())) and sum(r.n_leaked for r in rep) == sum(1 for x in per_eval.values() if x)
     assert pages.overlap_pairs(it.limit(0), sp).count() == 0
 
 
@@ -147,6 +149,13 @@ def test_flight_keeps_the_constraints():
     assert mixing.land(np.array([0.5, 0.5]), np.array([10, 30])).sum() in (1.0, 0.0, 2.0)
 
 
+def test_copies_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 4)
+    df = spark.createDataFrame([(1, "a b", "s")] * 11 + [(1, "a", "s")] * 2 + [(2, "a b", "s")], "doc_id bigint, text string, source string")
+    got = sorted((r.doc_id, r.n_tokens, r["copy"]) for r in mixing.sizes(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 2), *[(1, 2, i) for i in range(1, 12)], (2, 2, 1)]
+
+
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 50)  # several levels of blocks
     rng = random.Random(7)
@@ -159,6 +168,9 @@ def test_mix(spark, monkeypatch):
         assert abs(rep[s].actual_share - w / 0.9) < 0.01 and rep[s].most_repeats <= rep[s].max_repeats
     a, b = ({(r.doc_id, r.n_tokens, r.repeats) for r in mixing.mix(df, goal).collect()} for _ in range(2))
     assert a == b and not {900, 901, 902} & {x[0] for x in a}
+    again = {(r.doc_id, r.n_tokens, r.repeats) for r in mixing.mix(df.unionByName(df.where("doc_id = 5")).repartition(7, "text"), goal).collect()}
+    other = {(r.doc_id, r.n_tokens, r.repeats) for r in mixing.mix(df.unionByName(df.where("doc_id = 5")).orderBy(F.desc("doc_id")).coalesce(1), goal).collect()}
+    assert again == other  # whatever the partitions
     short = {r.source: r for r in mixing.mix_report(df, goal, total=10**7).collect()}
     assert all(short[s].mix_tokens == short[s].n_tokens * short[s].max_repeats for s in ("big", "mid", "small"))
     assert mixing.mix(df.limit(0), goal).count() == 0

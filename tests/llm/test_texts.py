@@ -35,6 +35,11 @@ def test_proper_scripts_and_accents():
     assert visual.canonical_text("пoчтa") == "почта"  # Latin twins in a Cyrillic word
     word = "می‌خواهم"
     assert visual.canonical_text(word) == word and visual.canonical_text("pay‌pal") == "paypal"
+    assert visual.canonical_text("Ꭺpple") == "Apple" and visual.canonical_text("ꓑay") == "Pay"
+    assert visual.canonical_text("новый ресурс") == "новый ресурс" and visual.canonical_text("ресурс.почта.test") == "ресурс.почта.test"
+    assert visual.canonical_text("https://почта.test/?х=1") == "https://почта.test/?x=1"  # a field is no part of the phrase
+    assert visual.canonical_text("paypal.com\u2028") == visual.canonical_text("paypal.com\x85") == visual.canonical_text("\u3000paypal.com\u200b\xa0") == "paypal.com"
+    assert visual.canonical_text("ê\u0301 e\u0302\u0301 e\u0323\u0302 e\u0302\u0323") == "ế ế ệ ệ" and visual.canonical_text("\u1112\u1161\u11ab") == "한"
     assert visual.canonical_text(None) is None and visual.canonical_text("") == ""
 
 
@@ -45,6 +50,24 @@ def test_form_is_stable(text):
     assert visual.canonical_text(once) == once
 
 
+def test_tables_are_whole_and_stable():
+    import unicodedata
+
+    for cp in [*range(0x80, 0x3000), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
+        ch = chr(cp)
+        once = visual._T.match(ch)
+        assert visual._T.match(once) == once or len(once) > 1, hex(cp)
+        if unicodedata.normalize("NFD", ch) != ch and ch not in visual._T.single and unicodedata.normalize("NFC", ch) == ch:
+            assert visual._T.match(unicodedata.normalize("NFD", ch)) == ch, hex(cp)
+    with pytest.raises(ValueError):
+        visual._T._add("e\u0301", "f")
+
+
+def test_canonical_column(spark):
+    got = [r[0] for r in spark.createDataFrame([("paypal.com\u2028",), ("paypal.com\x85",), ("paypal.com\n",), (None,)], "u string").select(visual.canonical(F.col("u"))).collect()]
+    assert got == ["paypal.com", "paypal.com", "paypal.com\n", None]
+
+
 def rows(spark, urls, extra=False):
     df = spark.createDataFrame([(i, u, d, s) for i, (u, d, s) in enumerate(urls)], "row_id bigint, url string, domain string, source string")
     return df.withColumns({"k1": F.lit(1), "page": F.lit("x"), "changed": F.lit(True)}) if extra else df
@@ -73,11 +96,14 @@ RESIDUE = [
     html(REAL, title="{{ title }}"), html("<p>Lorem ipsum dolor sit amet consectetur adipiscing elit.</p>"), html("<p>Your content comes here soon.</p><p>Votre texte ici.</p>"), html("<h1>404</h1><p>The page you asked for is not on this server.</p>"),
     html("<center>/a/guide was refused.</center><hr>nginx/1"), html("<h1>Erreur</h1><p>La page /x est introuvable.</p>"), html("<p>Please turn on JavaScript to go on.</p>"), html("<p>Scripting is off. Content cannot load.</p>"), html("<h1>a.test</h1><p>Please enable JS and reload.</p><p>Ray a1</p>"),
     "<body><noscript>You need to enable JavaScript to run this app.</noscript><div id=root></div></body>",
-]
+    html("<p>The guide page could not be found on this server.</p>"), html("<p>This library is no longer available.</p>"), html("<p>The requested course page was not found.</p>"),
+] + [html(f"{REAL}<p>Total: {slot}</p>") for slot in ('{{ user["name"] }}', '{{ t("hello") }}', "{{> header}}", "{firstName}", "{% if " + "a and " * 40 + "b %}", "US${amount}", "{{ " + "n" * 200 + " }}")]
 FINE = [
     html(REAL), html(f"{REAL}<pre><code>Hello {{{{ name }}}}, ${{id}}</code></pre>"), html(f"{REAL}<noscript>Please enable JavaScript.</noscript>"), html(f"{REAL}<script type='text/x-template'>{{{{ a }}}} %%A%%</script>"),
     html("<p>You have set lorem ipsum as mock text for ages; our class in May looks at why and how it was made.</p>"), html("<p>Keys not found in room 46 are kept at the desk of the hall until Friday.</p>"), html("<p>Room 404 was painted and can be booked again from 8 o'clock.</p>"),
     html("<p>The guide of the library shows how to enable JavaScript step by step.</p>"), html(f"{REAL}<p>Fields marked [optional] may stay empty. Save 5% on orders over $ 20.</p>"), "", html(REAL * 20 + "<p>The page could not be found.</p>"),
+    html("<p>Write {{ user.name }} where the template should show the name, and it is replaced by the account.</p>"), html("<p>Variables are put in two braces, for example:</p><p>{{ user.name }}</p>"),
+    html("".join(f"<p>The expression {{{{ a{i} }}}} renders field {i} of the row.</p>" for i in range(4)) + "<p>{{ b }}</p>"), html("<p>The message “page not found” means that the link is old; the lesson tells what to do.</p>"),
     html("<p>В комнате 404 сделали ремонт, и её снова можно забронировать.</p>"), html("<p>図書館の案内では、設定を変える方法を順番に説明しています。</p><p>Please enable JS.</p>"), html("<p>" + "?! " * 5000 + "real words</p>"),
 ]
 
