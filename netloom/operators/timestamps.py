@@ -1,14 +1,16 @@
 """Problem 4: timestamps of any habit to one instant in UTC.
 
-The text is cut into year, month, day, time, fraction and zone by one pattern
-per family of formats.  A zone in the text gives the instant directly; a wall
+The text is cut into year, month, day (or week, or day of the year), time,
+fraction and zone by one pattern per family of formats.  A zone in the text gives the instant directly; a wall
 time is joined as of the zone-offset intervals of its source's zone, which are
 exploded by year: two intervals hold it when it occurs twice (the earlier
 instant is taken), none when it is skipped (the offset before the change is
 taken), one otherwise.
 
 Defined results: null, empty and meaningless texts, impossible dates and
-unknown zone letters give null; a source that the configuration doesn't name
+unknown zone letters and regions give null; second 60 counts as the next one
+where there was a leap second and is no instant elsewhere; eight digits alone
+are year, month and day; a source that the configuration doesn't name
 counts as UTC and month first; a wall time before 1900 or after 2100 has the
 offset of that end; digits after the microsecond are cut off; repeated rows and
 all columns stay, but for older ones named utc_micros and wall.
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import UTC, datetime, timedelta
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,22 +40,38 @@ ZONE_LETTERS = {
     "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780, "SAST": 120, "PKT": 300,
 }
 
-_ZONE = r"\s*([Zz]|[A-Za-z]{2,5}|[+-]\d{1,2}(?::?\d{2})?|)(?:\[([A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)*)\])?"
+#: Zone letters, an offset (also after GMT or UTC, and with its letters behind it in parentheses), or none; then a region, in brackets or bare.
+_ZONE = r"\s*(?:(?:GMT|UTC|UT)(?=[+-]\d))?([Zz](?![A-Za-z/_])|[A-Za-z]{2,5}(?![A-Za-z/_])|[+-]\d{1,2}(?::?\d{2})?|)(?:\s*\([^()]*\))?(?:\s*\[?\s*([A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)+|(?<=\[)[A-Za-z_]+)\]?)?"
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AaPp])\.?[Mm]\.?)?" + _ZONE
 _NAME = r"([A-Za-z]{3})[a-z]*\.?"
+_DAY = r"(?:[A-Za-z]{3,9}\.?,?\s+)?"
 #: Patterns with the order of their groups; h mi s f a z n are time, fraction, a or p, zone and region.
 _T = ("h", "mi", "s", "f", "a", "z", "n")
 FORMATS: tuple[tuple[str, tuple[str, ...]], ...] = (
-    (rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})(?:(?:[Tt]|\s+){_TIME})?$", ("y", "m", "d", *_T)),
-    (rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt](\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d+))?)?{_ZONE}$", ("y", "m", "d", "h", "mi", "s", "f", "z", "n")),
+    (rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})(?:(?:[Tt]|,?\s+){_TIME})?$", ("y", "m", "d", *_T)),
+    (rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:[Tt ](\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d+))?)?{_ZONE})?$", ("y", "m", "d", "h", "mi", "s", "f", "z", "n")),
+    (rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt ]{_TIME}$", ("y", "m", "d", *_T)),
+    (rf"^(\d{{4}})-?[Ww](\d{{2}})(?:-?([1-7]))?(?:(?:[Tt]|\s+){_TIME})?$", ("y", "w", "k", *_T)),
+    (rf"^(\d{{4}})-(\d{{3}})(?:(?:[Tt]|\s+){_TIME})?$", ("y", "j", *_T)),
     (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?:,?\s+{_TIME})?$", ("p", "q", "y", *_T)),
     (rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})(?:,?\s+{_TIME})?$", ("d", "m", "y", *_T)),
-    (rf"^(?:[A-Za-z]{{3,9}},?\s+)?(\d{{1,2}})[\s-]+{_NAME}[\s-]+(\d{{4}})(?:,?\s+{_TIME})?$", ("d", "b", "y", *_T)),
-    (rf"^(?:[A-Za-z]{{3,9}},?\s+)?{_NAME}\s+(\d{{1,2}}),?\s+(\d{{4}})(?:,?\s+{_TIME})?$", ("b", "d", "y", *_T)),
+    (rf"^{_DAY}(\d{{1,2}})(?:st|nd|rd|th|\.)?[\s-]+{_NAME},?[\s-]+(\d{{4}})(?:,?\s+(?:at\s+)?{_TIME})?$", ("d", "b", "y", *_T)),
+    (rf"^\[?(\d{{1,2}})/{_NAME}/(\d{{4}})(?:[: ]{_TIME})?\]?$", ("d", "b", "y", *_T)),
+    (rf"^{_DAY}{_NAME}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?:,?\s+(?:at\s+)?{_TIME})?$", ("b", "d", "y", *_T)),
+    # the year behind the time, as ctime and date write it
+    (rf"^{_DAY}{_NAME}\s+(\d{{1,2}})\s+(\d{{1,2}}):(\d{{2}})(?::(\d{{2}})(?:\.(\d+))?)?\s*([A-Za-z]{{1,5}}|[+-]\d{{1,2}}(?::?\d{{2}})?|)\s+(\d{{4}})$", ("b", "d", "h", "mi", "s", "f", "z", "y")),
+    (rf"^(\d{{1,2}}):(\d{{2}})(?::(\d{{2}})(?:\.(\d+))?)?,?\s+(\d{{1,2}})\s+{_NAME}\s+(\d{{4}})$", ("h", "mi", "s", "f", "d", "b", "y")),
 )
-_PARTS = ("y", "m", "d", "b", "p", "q", *_T)
+_PARTS = ("y", "m", "d", "b", "p", "q", "w", "k", "j", *_T)
+# Days at whose end, in UTC, a second was put in.
+LEAP_SECONDS = (
+    "1972-06-30", "1972-12-31", "1973-12-31", "1974-12-31", "1975-12-31", "1976-12-31", "1977-12-31", "1978-12-31", "1979-12-31", "1981-06-30", "1982-06-30", "1983-06-30", "1985-06-30",
+    "1987-12-31", "1989-12-31", "1990-12-31", "1992-06-30", "1993-06-30", "1994-06-30", "1995-12-31", "1997-06-30", "1998-12-31", "2005-12-31", "2008-12-31", "2012-06-30", "2015-06-30", "2016-12-31",
+)
+#: A text that may name a region.
+NAMED = r"([A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)+|(?<=\[)[A-Za-z_]+)\]?\s*$"
 EXACT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}Z$"
-NUMBER = r"^[0-9]{9,17}$"
+NUMBER = r"^[0-9]{9,13}\.[0-9]+$|^[0-9]{9,17}$"
 
 
 def parts(text: Column) -> Column:
@@ -122,12 +140,15 @@ def to_utc(rows: DataFrame, sources: DataFrame, column: str = "date") -> DataFra
     spark = rows.sparkSession
     cfg = sources.select(plain_name(F.col("source")).alias("_src"), F.col("tz_name").alias("_tz"), F.col("day_first").alias("_df")).dropDuplicates(["_src"])
     zones = {r[0] for r in cfg.select("_tz").distinct().collect() if r[0]} | {"UTC"}
-    text = F.regexp_replace(F.col(column), r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$", "")
+    # regions that the texts name: as many as there are known ones at most
+    named = rows.select(F.regexp_extract(F.col(column), NAMED, 1).alias("n")).where("n <> ''")
+    zones |= {r["n"] for r in named.where(F.col("n").isin(sorted(available_timezones()))).distinct().collect()}
+    text = F.translate(F.regexp_replace(F.col(column), r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$", ""), "−", "-")
     kept = [c for c in rows.columns if c not in ("utc_micros", "wall")]
     df = rows.select(F.struct(*kept).alias("_row"), text.alias("_text"), plain_name(F.col("source")).alias("_src"))
     df = df.join(F.broadcast(cfg), "_src", "left").withColumn("_parts", parts(F.col("_text")))
     part = {name: F.col("_parts")[i] for i, name in enumerate(_PARTS)}
-    number = {k: F.when(part[k].rlike("^[0-9]{1,4}$"), part[k]).cast("bigint") for k in ("y", "m", "d", "p", "q", "h", "mi", "s")}
+    number = {k: F.when(part[k].rlike("^[0-9]{1,4}$"), part[k]).cast("bigint") for k in ("y", "m", "d", "p", "q", "w", "k", "j", "h", "mi", "s")}
     month_of = F.create_map(*[F.lit(x) for i, name in enumerate(MONTHS) for x in (name, i + 1)])
     named = F.try_element_at(month_of, F.lower(part["b"])).cast("bigint")
     first, second = number["p"], number["q"]
@@ -147,6 +168,9 @@ def to_utc(rows: DataFrame, sources: DataFrame, column: str = "date") -> DataFra
         F.coalesce(number["mi"], F.lit(0)).alias("_mi"),
         F.coalesce(number["s"], F.lit(0)).alias("_s"),
         F.rpad(F.substring(part["f"], 1, 6), 6, "0").cast("bigint").alias("_f"),
+        number["w"].alias("_w"),
+        F.coalesce(number["k"], F.lit(1)).alias("_k"),
+        number["j"].alias("_j"),
         part["z"].alias("_z"),
         part["n"].alias("_n"),
         sign.alias("_sign"),
@@ -159,12 +183,21 @@ def to_utc(rows: DataFrame, sources: DataFrame, column: str = "date") -> DataFra
     )
     leap = ((F.col("_y") % 4 == 0) & (F.col("_y") % 100 != 0)) | (F.col("_y") % 400 == 0)
     last = F.when(F.col("_m").isin(4, 6, 9, 11), F.lit(30)).when(F.col("_m") == 2, F.when(leap, F.lit(29)).otherwise(F.lit(28))).otherwise(F.lit(31))
-    real = (F.col("_y") >= 1) & F.col("_m").between(1, 12) & (F.col("_d") >= 1) & (F.col("_d") <= last) & (F.col("_h") <= 23) & (F.col("_mi") <= 59) & (F.col("_s") <= 59)
-    seconds = days_from_civil(F.col("_y"), F.col("_m"), F.col("_d")) * 86400 + F.col("_h") * 3600 + F.col("_mi") * 60 + F.col("_s")
+    civil = F.when(F.col("_m").between(1, 12) & (F.col("_d") >= 1) & (F.col("_d") <= last), days_from_civil(F.col("_y"), F.col("_m"), F.col("_d")))
+    new_year = days_from_civil(F.col("_y"), F.lit(1), F.lit(1))
+    length = F.when(leap, F.lit(366)).otherwise(F.lit(365))
+    # the week that holds the 4th of January is the first; 1970 began on a Thursday
+    monday = new_year + 3 - F.pmod(new_year + 6, F.lit(7)) + (F.col("_w") - 1) * 7
+    by_week = F.when((F.col("_w") >= 1) & (monday + 3 < new_year + length), monday + F.col("_k") - 1)
+    by_day = F.when(F.col("_j").between(1, length), new_year + F.col("_j") - 1)
+    day = F.when(F.col("_j").isNotNull(), by_day).when(F.col("_w").isNotNull(), by_week).otherwise(civil)
+    df = df.withColumn("_day", day)
+    real = (F.col("_y") >= 1) & F.col("_day").isNotNull() & (F.col("_h") <= 23) & (F.col("_mi") <= 59) & ((F.col("_s") <= 59) | ((F.col("_s") == 60) & (F.col("_mi") == 59)))
+    seconds = F.col("_day") * 86400 + F.col("_h") * 3600 + F.col("_mi") * 60 + F.col("_s")
     df = df.withColumn("_wall", F.when(real, seconds)).withColumn("_given", F.when(F.abs(given) <= 18 * 3600, given))
     free = (F.col("_z") == "") & F.col("_wall").isNotNull()
     zone = F.when(free, F.when(F.col("_n") != "", F.col("_n")).otherwise(F.coalesce("_tz", F.lit("UTC"))))
-    year = F.greatest(F.lit(FIRST_YEAR), F.least(F.lit(LAST_YEAR), F.col("_y"))).cast("int")
+    year = F.greatest(F.lit(FIRST_YEAR), F.least(F.lit(LAST_YEAR), F.when(F.col("_w").isNull(), F.col("_y")).otherwise(F.year(F.date_from_unix_date(F.col("_day").cast("int")))))).cast("int")
     spans = F.broadcast(zone_table(spark, zones).select(F.col("zone").alias("_zone"), F.col("year").alias("_year"), F.col("spans").alias("_spans")))
     df = df.withColumn("_zone", zone).withColumn("_year", year).join(spans, ["_zone", "_year"], "left")
     held = F.filter("_spans", lambda x: (x["lo"] <= F.col("_wall")) & (x["hi"] > F.col("_wall")))
@@ -173,10 +206,16 @@ def to_utc(rows: DataFrame, sources: DataFrame, column: str = "date") -> DataFra
     offset = F.when(F.size("_held") > 0, F.array_max(F.transform("_held", lambda x: x["off"]))).otherwise(
         F.array_max(F.transform(past, lambda x: F.struct(x["hi"].alias("hi"), x["off"].alias("off"))))["off"]
     )
-    count = F.when(F.col("_text").rlike(NUMBER), F.col("_text").cast("bigint"))
-    scale = F.when(F.length("_text") <= 11, F.lit(1_000_000)).when(F.length("_text") <= 14, F.lit(1_000)).otherwise(F.lit(1))
-    micros = F.coalesce(count * scale, (F.col("_wall") - F.when(free, offset).otherwise(F.col("_given"))) * 1_000_000 + F.col("_f"))
-    wall = F.when(micros.isNull(), F.lit(None)).when(~F.coalesce(free, F.lit(False)), F.lit("exact"))
+    digits = F.split("_text", r"\.")
+    whole, decimals = digits[0], F.coalesce(F.get(digits, F.lit(1)), F.lit(""))
+    count = F.when(F.col("_text").rlike(NUMBER), whole.cast("bigint"))
+    scale = F.when(F.length(whole) <= 11, F.lit(1_000_000)).when(F.length(whole) <= 14, F.lit(1_000)).otherwise(F.lit(1))
+    part_of = F.floor(F.rpad(F.substring(decimals, 1, 6), 6, "0").cast("bigint") * scale / 1_000_000)
+    utc = F.col("_wall") - F.when(free, offset).otherwise(F.col("_given"))
+    added = F.lit([int(datetime.fromisoformat(d + "T00:00:00+00:00").timestamp()) + 86400 for d in LEAP_SECONDS])
+    utc = F.when((F.col("_s") < 60) | F.array_contains(added, utc), utc)
+    micros = F.coalesce(count * scale + part_of, utc * 1_000_000 + F.col("_f"))
+    wall = F.when(micros.isNull(), F.lit(None)).when(~F.coalesce(free, F.lit(False)) | count.isNotNull(), F.lit("exact"))
     wall = wall.when(F.size("_held") == 2, F.lit("twice")).when(F.size("_held") == 0, F.lit("skipped")).otherwise(F.lit("once"))
     return df.select("_row.*", micros.alias("utc_micros"), wall.alias("wall"))
 

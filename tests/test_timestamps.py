@@ -44,11 +44,26 @@ CASES = [
     ("de", "2023-10-29 02:30:00", "2023-10-29T00:30:00+00:00"),  # twice
     ("nobody", "2023-01-06 00:00", "2023-01-06T00:00:00+00:00"),
     (None, "2023-01-06 00:00", "2023-01-06T00:00:00+00:00"),
+    ("us", "2024-07-01T10:00:00[America/Denver]", "2024-07-01T16:00:00+00:00"),
+    ("us", "2024-07-01 10:00:00 Europe/Lisbon", "2024-07-01T09:00:00+00:00"),
+    ("us", "Mon Jan 02 2023 15:04:05 GMT+0100 (CET)", "2023-01-02T14:04:05+00:00"),
+    ("us", "Mon Jan  2 15:04:05 2023", "2023-01-02T20:04:05+00:00"),
+    ("us", "Mon Jan  2 15:04:05 UTC 2023", "2023-01-02T15:04:05+00:00"),
+    ("us", "[10/Oct/2000:13:55:36 -0700]", "2000-10-10T20:55:36+00:00"),
+    ("us", "2023-01-02 15:04 UTC+2", "2023-01-02T13:04:00+00:00"),
+    ("us", "2016-12-31T23:59:60Z", "2017-01-01T00:00:00+00:00"),
+    ("utc", "20240305", "2024-03-05T00:00:00+00:00"),
+    ("us", "1672611734.5094071", "2023-01-01T22:22:14.509407+00:00"),
+    ("utc", "2020-W53-7", "2021-01-03T00:00:00+00:00"),
+    ("utc", "2026W01", "2025-12-29T00:00:00+00:00"),
+    ("utc", "2024-366T10:00", "2024-12-31T10:00:00+00:00"),
+    ("utc", "2nd March 2023 at 10:00", "2023-03-02T10:00:00+00:00"),
+    ("us", "2023-01-02T15:04:05−05:00", "2023-01-02T20:04:05+00:00"),
     ("de", "1672611734", "2023-01-01T22:22:14+00:00"),
     ("de", "1672611734509", "2023-01-01T22:22:14.509000+00:00"),
     ("de", "1672611734509407", "2023-01-01T22:22:14.509407+00:00"),
 ]
-NOTHING = [None, "", " ", "-", "N/A", "unknown", "2025-02-30", "0000-00-00 00:00:00", "31/31/2024", "2023-01-01 25:00:00", "2023-01-01 10:00:00 XYZ", "Jan 1, 2023 13:05:00 AM", "12345", "x" * 100_000]
+NOTHING = [None, "", " ", "-", "N/A", "unknown", "2025-02-30", "0000-00-00 00:00:00", "31/31/2024", "2023-01-01 25:00:00", "2023-01-01 10:00:00 XYZ", "Jan 1, 2023 13:05:00 AM", "12345", "x" * 100_000, "2021-W53", "2023-366", "2023-01-01T23:59:60Z", "2024-07-01T10:00:00[Nowhere/City]", "20241305", "2023-W00-1"]
 
 
 def test_cases(spark):
