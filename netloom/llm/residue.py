@@ -53,11 +53,11 @@ LOREM = (
     "pariatur|excepteur|sint|occaecat|cupidatat|non|proident|sunt|culpa|officia|deserunt|mollit|anim|laborum|sit|ut|et|ad|ex|ea|id|est|eu|qui"
 )
 FILLER = (
-    r"(?i)(sample|dummy|placeholder|demo) (text|copy|paragraph|content)|placeholder$|(?:\btext[ .,]+){3}|double-click (the|this) (box|text)|"
-    r"\byour (own )?(content|text|description|product|headline|story|words?)\b.{0,20}\b(here|goes|comes|in this (box|area)|soon)\b|"
-    r"(add|write|describe|enter) your .{1,30} in this (box|area|place)|(headline|title|subtitle|text|content|copy|name) goes here|"
-    r"\b(hier steht|ihr text hier|platzhaltertext|blindtext)|votre texte ici|texte (de remplissage|ici)|(aquí|aqui) (tu|su) (contenido|texto)|"
-    r"to write your own words|to be replaced\.?$|content (comes|coming) (here )?soon"
+    r"(?i)\b(?:sample|dummy|placeholder|demo) (?:text|copy|paragraph|content)|\bplaceholder$|(?:\btext[ .,]+){3}|\bdouble-click (?:the|this) (?:box|text)|"
+    r"\byour (?:own )?(?:content|text|description|product|headline|story|words?)\b.{0,20}\b(?:here|goes|comes|in this (?:box|area)|soon)\b|"
+    r"\b(?:add|write|describe|enter) your .{1,30} in this (?:box|area|place)\b|\b(?:headline|title|subtitle|text|content|copy|name) goes here|"
+    r"\b(?:hier steht|ihr text hier|platzhaltertexte?\b|blindtexte?\b)|\b(?:votre texte ici|texte (?:de remplissage|ici))|\b(?:aquí|aqui) (?:tu|su) (?:contenido|texto)|"
+    r"\bto write your own words\b|\bto be replaced\.?$|\bcontent (?:comes|coming) (?:here )?soon\b"
 )
 _THING = (
     r"(?:page|site|website|file|document|resource|server|service|host|address|url|request|database|web ?space|account|application|origin|gateway|"
@@ -72,24 +72,26 @@ _FAULT = (
 )
 #: A thing and its fault; looked for only in sentences that hold a fault at all.
 ERROR_SENTENCE = (
-    rf"(?i)(?:^|\b(?:the|this|your|our|that)\b|/)[^.!?]{{0,60}}?{_THING}\b[^!?]{{0,60}}?\b(?:{_FAULT})|^/\S+ (?:{_FAULT})|^[^a-z]*(?:{_THING} )?(?:{_FAULT})"
+    rf"(?i)(?:^|\b(?:the|this|your|our|that)\b|/)[^.!?]{{0,60}}?{_THING}\b[^!?]{{0,60}}?\b(?:{_FAULT})\b|^/\S+ (?:{_FAULT})\b|^[^a-z]*(?:{_THING} )?(?:{_FAULT})\b|"
+    # whatever the thing is, if the sentence says nothing else
+    r"^(?:the|this|that|your|our) (?:[\w'-]+ ){1,4}?(?:(?:is )?no longer (?:available|here|exists?)|(?:could|can) ?not be found|was not found|does not exist)\b[^.!?]{0,30}[.!]?$"
 )
-FAULT = rf"(?i)\b(?:{_FAULT})"
+FAULT = rf"(?i)\b(?:{_FAULT})\b"
 ERROR_LINE = (
     r"(?i)^[^\p{L}\p{N}]*(?:(?:http|status|error|code|fehler|erreur)[^\p{L}\p{N}]{0,3}[1-5]\d\d|[45]\d\d)\b.{0,60}$|^(?:error|warning|problem loading page|oops|sorry)[^\p{L}\p{N}]*$|"
-    r"^(?:(?:page|file|seite|site)? ?not (?:found|available)|bad gateway|gateway time-?out|(?:internal )?server error|service unavailable|forbidden|"
+    r"^(?:(?:(?:page|file|seite|site) )?not (?:found|available)|bad gateway|gateway time-?out|(?:internal )?server error|service unavailable|forbidden|"
     r"access (?:denied|forbidden)|request blocked|(?:account|site|page|service) (?:disabled|suspended))[^\p{L}\p{N}]*$|"
-    r"something (?:broke|went wrong)|we (?:could|can) ?not find|you do not have (?:the )?(?:rights?|permissions?) to|^(?:fatal|uncaught|php) ?\w* ?(?:fault|error)|^\w+ fault: |"
-    r"^traceback|^warning: \w+\(|stack trace|internal server error|method \w+ used on nothing|"
-    r"la (?:página|pagina) \S+ no existe|(?:página|pagina) no encontrada|est introuvable|n'existe (?:pas|plus)|nicht gefunden|gibt es nicht mehr|nicht verfügbar"
+    r"\bsomething (?:broke|went wrong)\b|\bwe (?:could|can) ?not find|\byou do not have (?:the )?(?:rights?|permissions?) to|^(?:fatal|uncaught|php)\b ?\w* ?(?:fault|error)|^\w+ fault: |"
+    r"^traceback\b|^warning: \w+\(|\bstack trace\b|\binternal server error|\bmethod \w+ used on nothing|"
+    r"\bla (?:página|pagina) \S+ no existe\b|\b(?:página|pagina) no encontrada\b|\best introuvable\b|\bn'existe (?:pas|plus)|\bnicht gefunden\b|\bgibt es nicht mehr|\bnicht verfügbar\b"
 )
 _SCRIPT = r"(?:java ?script|js|scripts?|scripting|client-side scripts?)\b"
 SCRIPTS = (
     rf"(?i)\b(?:enable|activate|allow|permit|unblock|turn(?:ing)? on|switch(?:ing)? on)\s+(?:\w+\s+){{0,2}}?{_SCRIPT}|"
-    rf"{_SCRIPT}[^.]{{0,60}}\b(?:must be (?:allowed|enabled|on|turned on|switched on)|(?:is|are) (?:required|needed|disabled|off|switched off|turned off|not (?:enabled|supported|running)))|"
+    rf"\b{_SCRIPT}[^.]{{0,60}}\b(?:must be (?:allowed|enabled|on|turned on|switched on)|(?:is|are) (?:required|needed|disabled|off|switched off|turned off|not (?:enabled|supported|running)))|"
     rf"\b(?:needs?|requires?|wants?)\s+(?:\w+\s+){{0,3}}?{_SCRIPT}|\b(?:does not|doesn't|cannot) (?:run|support|execute) {_SCRIPT}|(?:browser )?supports? {_SCRIPT}|"
-    r"(?:aktivieren|einschalten|erlauben) sie (?:bitte )?javascript|javascript (?:zu )?(?:aktivieren|einschalten)|activer (?:les scripts|javascript)|"
-    r"(?:activa|active|activar|habilite|habilita|habilitar) javascript|(?:ative|habilite) o? ?javascript"
+    r"(?:aktivieren|einschalten|erlauben) sie (?:bitte )?javascript\b|\bjavascript (?:zu )?(?:aktivieren|einschalten)|activer (?:les scripts|javascript)\b|"
+    r"(?:activa|active|activar|habilite|habilita|habilitar) javascript\b|(?:ative|habilite)(?: o)? javascript\b"
 )
 _LESSON = r"(?:guide|tutorial|library|lesson|lecture|class|article|course|workshop|chapter|book|museum|exhibit|exhibition|section|post)"
 #: A sentence that talks about such things instead of being one: it says how something is done, or what a lesson or a quoted text says.
@@ -111,30 +113,27 @@ STOCK = (
     r"loading.{0,10}|hmm|oops|sorry|unfortunately|(?:\w+ ){0,2}cannot load|allow them and .{0,40}|enable them and .{0,40}|[\w-]+(?:\.[\w-]+)+)?[^\p{L}\p{N}]*+$"
 )
 
-#: Every pattern of a kind needs one of these in the lower-case text that it is matched on (for placeholders: html without tags);
+KINDS = ("placeholder", "filler", "error", "scripts")
+#: Every match of a pattern of a kind holds one of these as a whole word (a run of letters and digits) of the text that it is matched on;
 #: a page without any is not looked at more closely.
 TRIGGERS = {
-    "placeholder": (
-        "{", "$[", "[[", "<%", "&lt;%", "<?", "&lt;?", "%%", "@@", "__", "%(", "[your", "[insert", "[enter", "[add", "[put", "[type", "here>", "here&gt;", "&#123;", "&lcub;",
+    "filler": (
+        "sample", "dummy", "placeholder", "demo", "text", "double", "here", "goes", "comes", "soon", "box", "area", "place", "hier", "platzhaltertext", "platzhaltertexte", "blindtext",
+        "blindtexte", "texte", "aquí", "aqui", "words", "replaced",
     ),
-    "filler": ("sample", "dummy", "placeholder", "demo ", "text", "double-click", "goes", "comes", "here", "soon", "in this ", "hier steht", "contenido", "own words", "replaced"),
     "error": (
-        "not ", "cannot", "no longer", "been ", "has moved", "refused", "removed", "denied", "blocked", "deleted", "suspended", "switched off", "disabled", "ran out", "fault", "error",
-        "timed out", "too long", "longer than", "out of ", "unavailable", "offline", "is down", "currently", "temporarily", "valid answer", "no database", "fehler", "erreur", "warning",
-        "problem", "oops", "sorry", "gateway", "forbidden", "went wrong", "something broke", "traceback", "stack trace", "used on nothing", "no existe", "encontrada", "introuvable",
-        "n'existe", "gefunden", "gibt es nicht", "verfügbar",
+        "not", "cannot", "couldnot", "longer", "been", "refused", "removed", "denied", "blocked", "deleted", "suspended", "switched", "disabled", "memory", "fault", "error",
+        "timed", "took", "out", "unavailable", "offline", "down", "valid", "database", "warning", "problem", "oops", "sorry", "gateway", "forbidden", "broke", "wrong", "fatal", "uncaught",
+        "php", "traceback", "stack", "internal", "nothing", "existe", "encontrada", "introuvable", "gefunden", "gibt", "verfügbar",
     ),
-    "scripts": ("javascript",),
+    "scripts": ("javascript", "java", "js", "script", "scripts", "scripting"),
 }
-#: LOREM by first letters, which is quicker to reject.
-_LATIN = "|".join(f"{c}(?:{'|'.join(w[1:] for w in LOREM.split('|') if w[0] == c)})" for c in sorted({w[0] for w in LOREM.split("|")}))
-#: Or a match of this.  Where half of three words or more are filler, two such words have at most two others between them.
-TRIGGER_PATTERNS = {
-    "placeholder": r"\*(?:\s|&nbsp;)*+\|",
-    "filler": rf"(?<!\p{{L}})(?:{_LATIN})[^\p{{L}}\n]++(?:\p{{L}}++[^\p{{L}}\n]++){{0,2}}(?:{_LATIN})(?!\p{{L}})",
-    "error": r"(?:http|status|code)[^\p{L}\p{N}]{0,3}[1-5]\d\d\b|(?<![\p{L}\p{N}])[45]\d\d\b",
-    "scripts": r"(?:java ?script|js|scripts?|scripting)\b",
-}
+NO_WORD = r"[^\p{L}\p{N}]+"
+#: Or one of these: a frequent word only with the one before it, and the code of an error where a sentence may begin.
+MOVED = "has moved"
+CODE = r"(?:\A|[\n.!?])[^\p{L}\p{N}]*+(?:(?:http|status|error|code|fehler|erreur)[^\p{L}\p{N}]{0,3}[1-5]\d\d|[45]\d\d)\b"
+#: Placeholders need one of these in the html without its tags; the first, quicker pattern looks at the tags too.
+MARKS = (r"[{\[%@_*&]|<[%?]", r"[{\[]|%[%(]|@@|__|<[%?]|&(?:lt|lcub|#)|\*(?:\s|&nbsp;)*+\|")
 #: A heading of one or two words and up to so many letters counts only if it is residue itself.
 SHORT = 30
 #: Scripts without blanks between words; their sentences are never headings by the number of words.
@@ -201,12 +200,24 @@ def _unscripted(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|template|svg|iframe|object)\b[^>]*>.*?</\1\s*>", " ")
 
 
-def _triggers(shown: Column, content: Column) -> Column:
-    """Which kinds of residue a page may hold, as an array of flags in the order of TRIGGERS; ``shown``: html for placeholders, ``content``: the text that is judged."""
-    low = [F.lower(F.regexp_replace(shown, r"</?[a-zA-Z][^>]*>|<![^>]*>", "")), F.lower(content)]
-    has = lambda t, k: F.exists(F.array(*[F.lit(x) for x in TRIGGERS[k]]), lambda x: t.contains(x)) | t.rlike(TRIGGER_PATTERNS[k])
-    # the lambda binds the lower-case texts, which are then made once a page
-    return F.transform(F.array(F.struct(low[0].alias("s"), low[1].alias("c"))), lambda t: F.array(*[has(t["s" if k == "placeholder" else "c"], k) for k in TRIGGERS]))[0]
+def _marked(shown: Column) -> Column:
+    return F.when(shown.rlike(MARKS[0]), F.regexp_replace(shown, r"</?[a-zA-Z][^>]*>|<![^>]*>", "").rlike(MARKS[1])).otherwise(F.lit(False))
+
+
+def _holds(kind: str, words: Column, low: Column) -> Column:
+    """Whether a lower-case text, given with its words, can be a match of a kind, or hold one."""
+    listed = F.arrays_overlap(words, F.lit(list(TRIGGERS[kind])))
+    if kind == "filler":
+        # half of three words or more in a sentence are filler, so two such words at least
+        return listed | (F.size(F.filter(words, lambda w: w.isin(LOREM.split("|")))) >= 2)
+    if kind == "error":
+        return listed | low.contains(MOVED) | low.rlike(CODE)
+    return listed
+
+
+def _triggers(words: Column, low: Column, marked: Column) -> Column:
+    """Which kinds of residue a page may hold, as an array of flags in the order of KINDS, from the lower-case text that is judged and its words."""
+    return F.array(*[marked if k == "placeholder" else _holds(k, words, low) for k in KINDS])
 
 
 def _stage(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
@@ -223,19 +234,27 @@ def inspect(rows: DataFrame, html: str = "html", every: bool = False) -> DataFra
     df = _stage(df, ["row_id"], notice=notice, h=_cut(h, "noscript"))
     content = _text(_cut(F.regexp_replace(F.col("h"), r"(?is)<a\b[^>]*>.*?</a\s*>", " "), "title|nav|footer|button|select|option|label"))
     df = _stage(df, ["row_id", "notice"], shown=_cut(F.col("h"), "code|pre|kbd|samp|xmp|textarea|listing"), content=content)
-    flags = F.array(*[F.lit(True)] * len(TRIGGERS)) if every else F.transform(_triggers(F.col("shown"), F.col("content")), lambda x, i: x | ((i == list(TRIGGERS).index("scripts")) & (F.col("notice") != "")))
-    look = F.transform(F.array(flags), lambda m: F.struct(m.alias("may"), F.col("notice").alias("notice"), F.col("shown").alias("shown"), F.col("content").alias("content")))
-    df = df.select("row_id", F.explode(F.filter(look, lambda x: F.array_contains(x["may"], True))).alias("x")).select("row_id", "x.*")
-    may = dict(zip(TRIGGERS, (F.col("may")[i] for i in range(len(TRIGGERS)))))
+    if every:
+        df = df.select("*", F.array(*[F.lit(True)] * len(KINDS)).alias("may"))
+    else:
+        df = _stage(df, ["row_id", "notice", "shown", "content"], marked=_marked(F.col("shown")), low=F.lower("content"))
+        df = _stage(df, ["row_id", "notice", "shown", "content", "marked", "low"], words=F.split("low", NO_WORD))
+        df = _stage(df, ["row_id", "notice", "shown", "content"], may=_triggers(F.col("words"), F.col("low"), F.col("marked")))
+        # a page of a bare notice is asked about it
+        df = df.withColumn("may", F.transform("may", lambda x, i: x | ((i == KINDS.index("scripts")) & (F.col("notice") != ""))))
+        df = df.where(F.array_contains("may", True))
+    may = dict(zip(KINDS, (F.col("may")[i] for i in range(len(KINDS)))))
     judged = may["filler"] | may["error"] | may["scripts"]
     df = _stage(df, ["row_id", "may", "notice"], slots=F.when(may["placeholder"], _slots(_text(F.col("shown")))), sentences=F.when(judged, _sentences(F.col("content"))))
     df = df.select("row_id", "may", "notice", _unfilled(F.col("slots")).alias("placeholder"), "sentences")
-    filler = lambda s: may["filler"] & _is_filler(s) & ~s.rlike(TALK)
-    error = lambda s: may["error"] & _is_error(s) & ~s.rlike(TALK)
-    script = lambda s: may["scripts"] & s.rlike(SCRIPTS) & ~s.rlike(TALK)
-    # of each sentence that isn't a stock phrase: its letters, and whether it is of a kind; short headings count only if they are
-    judge = lambda s: F.struct(_letters(s).alias("n"), filler(s).alias("f"), error(s).alias("e"), script(s).alias("j"), ((F.size(F.split(s, r"\s+")) <= 2) & (_letters(s) <= SHORT) & ~s.rlike(UNSPACED)).alias("short"))
-    said = F.transform(F.filter("sentences", lambda s: ~s.rlike(STOCK)), judge)
+    # of each sentence that isn't a stock phrase: its letters, and whether it is of a kind; short headings count only if they are.
+    # Patterns are tried where the sentence holds a word that they need.
+    sizes = F.transform(F.filter("sentences", lambda s: ~s.rlike(STOCK)), lambda s: F.struct(s.alias("s"), _letters(s).alias("n"), F.lower(s).alias("low"), F.split(F.lower(s), NO_WORD).alias("w")))
+    filler = lambda x: may["filler"] & _holds("filler", x["w"], x["low"]) & _is_filler(x["s"]) & ~x["s"].rlike(TALK)
+    error = lambda x: may["error"] & _holds("error", x["w"], x["low"]) & _is_error(x["s"]) & ~x["s"].rlike(TALK)
+    script = lambda x: may["scripts"] & _holds("scripts", x["w"], x["low"]) & x["s"].rlike(SCRIPTS) & ~x["s"].rlike(TALK)
+    short = lambda x: (x["n"] <= SHORT) & (F.size(F.split(x["s"], r"\s+")) <= 2) & ~x["s"].rlike(UNSPACED)
+    said = F.transform(sizes, lambda x: F.struct(x["n"].alias("n"), filler(x).alias("f"), error(x).alias("e"), script(x).alias("j"), short(x).alias("short")))
     df = _stage(df, ["row_id", "may", "notice", "placeholder"], said=F.filter(said, lambda x: ~x["short"] | x["f"] | x["e"] | x["j"]))
     zero = F.struct(*[F.lit(0).alias(k) for k in ("n", "f", "e", "j")])
     part = lambda x, k: F.when(x[k], x["n"]).otherwise(F.lit(0))
