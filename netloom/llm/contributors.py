@@ -44,7 +44,8 @@ def score(url: Column, depth: Column) -> Column:
 def capped(rows: DataFrame, max_share: float | None = MAX_SHARE, max_count: int | None = None) -> DataFrame:
     """(row_id, contributor, score, position) of the rows kept: the best of each contributor up to the cap."""
     base = rows.select("row_id", F.coalesce(plain_domain(F.col("domain")), F.lit("")).alias("contributor"), score(F.col("url"), F.col("depth")).alias("score"))
-    placed = positions(base, "contributor", [F.col("score").desc(), F.col("row_id")])
+    # written first: the range sort reads its rows twice
+    placed = positions(materialise(base, "p7-scores"), "contributor", [F.col("score").desc(), F.col("row_id")])
     caps = [c for c in (max_count, None if max_share is None else int(max_share * placed.count())) if c is not None]
     return placed.where(F.col("position") < max(1, min(caps))) if caps else placed
 

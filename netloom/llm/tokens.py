@@ -227,9 +227,11 @@ def slices(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
-            for row in range(batch.num_rows):
-                _, _, offsets, sizes = encoder.encode(batch.column(1).slice(row, 1).to_pylist())
-                lists = [pa.array([x.astype(np.int32).tolist()], type=pa.list_(pa.int32())) for x in (offsets, sizes)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), *lists], names=[key, "begins", "sizes"])
+            for piece in _pieces(batch):
+                _, ends, offsets, sizes = encoder.encode(piece.column(1).to_pylist())
+                # slices hold an id at least, so the ids before a text's end tell its last slice
+                upto = np.concatenate([[0], np.searchsorted(np.cumsum(sizes), ends, side="right")]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(upto), pa.array(x.astype(np.int32))) for x in (offsets, sizes)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), *lists], names=[key, "begins", "sizes"])
 
     return docs.select(key, text).mapInArrow(run, schema)

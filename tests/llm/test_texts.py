@@ -214,6 +214,30 @@ def test_levels_follow_the_words(spark):
     assert all(abs(joined[k] - sent[k]) < 1e-6 for k in sent)
 
 
+def test_levels_of_unspaced_scripts(spark):
+    rng = random.Random(8)
+    plain, rare = "的一是不了人我在有他这中大来上国", "鳏黠龌龊黧齑麈鼾黜鼯鼹鼬齄鼙"
+    docs = [(i, "".join(rng.choice(plain if rng.random() > i / 200 else rare) for _ in range(80)), "zh") for i in range(200)]
+    got = {r.doc_id: r.level for r in reading.levels(spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()}
+    assert len({round(x, 6) for x in got.values()}) > 100
+    assert sum(got[i] < got[i + 100] for i in range(100)) >= 98
+
+
+def test_levels_from_graded_texts(spark):
+    rng = random.Random(9)
+    # word length says nothing here: grades must come from the graded texts
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(120)]
+    text = lambda g: " ".join(vocabulary[min(119, max(0, int(rng.gauss(g * 10, 12))))] for _ in range(80))
+    graded = spark.createDataFrame([(text(g), "en", float(g)) for g in range(12) for _ in range(25)], "text string, lang string, grade double")
+    held = [(i, text(i % 12), "en") for i in range(240)]
+    docs = spark.createDataFrame(held, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.level for r in reading.levels(docs, graded=graded).collect()}
+    assert len(got) == 240
+    far = [(a, b) for a in range(240) for b in range(240) if b % 12 - a % 12 >= 4]
+    assert sum(got[a] < got[b] for a, b in far) / len(far) > 0.95  # held-out pairs four grades apart
+    assert sum(abs(got[i] - i % 12) for i in range(240)) / 240 < 2.0  # on the scale of the grades
+
+
 def test_levels_of_odd_texts(spark):
     df = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "123 !!", "x"), (4, "word " * 50_000, "en"), (4, "word", "en")], "doc_id bigint, text string, lang string")
     assert {r.doc_id for r in reading.levels(df).collect()} == {4}
