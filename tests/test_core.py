@@ -14,6 +14,7 @@ from netloom.features import html as H
 from netloom.features import url as A
 from netloom.features.lists import Lists
 from netloom.functions import urls as U
+from netloom.functions import idna
 from netloom.operators import attacks, corpus, dedup, graph, lists, metrics, positions, skew, splits, thresholds, verdict
 from netloom.schema import SchemaError, label_of, validate
 from netloom.streaming import index
@@ -242,11 +243,33 @@ def test_token_bucket(spark):
 
 
 def test_attacks_are_fixed_by_seed(spark):
-    u = "https://login.example.com/a/b?x=1"
-    for f in attacks.FAMILIES:
-        assert attacks.rewrite(f, u, 1) == attacks.rewrite(f, u, 1) != u
-    assert attacks.rewrite("homoglyph", None) is None and attacks.rewrite("tld", "http://1.2.3.4/") is None
-    assert attacks.look_alike("digit", "paypal", 1) != "paypal"
+    urls = ["https://login.example.com/a/b?x=1", "http://1.2.3.4/", None, "", "http://pay.shop.test:81", "https://почта.test/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "row_id bigint, url string")
+    got = {(r.row_id, r.family): r.attacked for r in attacks.variants(df, seed=1).collect()}
+    assert got == {(r.row_id, r.family): r.attacked for r in attacks.variants(df.repartition(5), seed=1).collect()}
+    assert got != {(r.row_id, r.family): r.attacked for r in attacks.variants(df, seed=2).collect()}
+    assert {f for i, f in got if i == 0} == set(attacks.FAMILIES) and {f for i, f in got if i == 1} == {"subdomain", "brand", "padding", "shortener"}
+    assert not {i for i, _ in got} & {2, 3} and all(x.isascii() or f == "padding" or i == 5 for (i, f), x in got.items())
+    assert got[0, "subdomain"].split("/")[2].endswith(".login.example.com") and "brand=" in got[0, "brand"] and got[0, "padding"].count("/") >= 7
+    assert got[4, "homoglyph"].startswith("http://pay.") and ":81" in got[4, "tld"] and not got[0, "tld"].split("/")[2].endswith(".com")
+
+
+def test_look_alikes(spark):
+    df = spark.createDataFrame([("paypal",), ("amazon",), ("a",), (None,), ("",)], "brand string")
+    got = attacks.look_alike_domains(df).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.brand, r.style), set()).add(r.domain.rsplit(".", 1)[0])
+    assert {s for b, s in by if b == "paypal"} == set(attacks.STYLES) - {"pair"} and ("amazon", "pair") in by
+    assert all(len(x) == 5 for x in by["paypal", "delete"]) and all(len(x) == 7 for x in by["paypal", "insert"] | by["paypal", "double"])
+    assert all(x.startswith("xn--") for x in by["paypal", "unicode"]) and all(sorted(x) == sorted("paypal") != x for x in by["paypal", "transpose"])
+    assert attacks.look_alike_domains(df.limit(0)).count() == 0
+
+
+def test_hosts_to_ascii_and_back(spark):
+    df = spark.createDataFrame([("почта.test",), ("a.test",), ("xn--80a1acny.test",), ("xn--\u0394.test",), ("xn--zzzzzzzzz999999.test",), (None,)], "h string")
+    got = df.select(idna.to_ascii(F.col("h")).alias("a"), idna.to_unicode(F.col("h")).alias("u")).collect()
+    assert got[0].a == "xn--80a1acny.test" and got[1].a == got[1].u == "a.test" and got[2].u == "почта.test" and got[5].a is None and got[5].u is None
 
 
 def test_bootstrap_rule_of_all_replicates(spark):
