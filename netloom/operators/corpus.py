@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import urls as U
-from netloom.functions.text import plain_name
+from netloom.functions.text import plain_domain, plain_name
 from netloom.operators import dedup
 from netloom.operators.positions import positions, top_per_group
+from netloom.operators.skew import salted_join
 from netloom.operators.timestamps import to_utc
 
 POOL, HELDOUT, TIME_SLICE, EVAL_ONLY, OVERLAP = "pool", "heldout_source", "time_slice", "eval_only", "holdout_domain_overlap"
@@ -36,7 +37,7 @@ def corpus_rows(interim: DataFrame, sources: DataFrame | None = None) -> DataFra
         F.concat(source, F.lit(":"), F.col("row_id").cast("string")).alias("uid"),
         "row_id",
         "url",
-        F.lower(F.trim("domain")).alias("domain"),
+        plain_domain(F.col("domain")).alias("domain"),
         F.col("label").cast("int").alias("label"),
         *date,
         source.alias("source"),
@@ -77,7 +78,7 @@ def near_dup_pages(df: DataFrame, priority: Sequence[str], most: int = 3) -> Dat
     hashed = df.where("html_simhash is not null")
     roots = dedup.near_dup_clusters(hashed.select("html_simhash", "label"), most, within="label")
     first = F.struct(F.col("date").isNull().alias("undated"), F.col("date").alias("date"), rank_of(F.col("source"), priority).alias("prio"), F.col("uid").alias("uid"))
-    keep = hashed.join(roots, ["html_simhash", "label"]).groupBy("label", "root").agg(F.min(first).alias("f")).select("f.uid")
+    keep = salted_join(hashed, roots, ["html_simhash", "label"]).groupBy("label", "root").agg(F.min(first).alias("f")).select("f.uid")
     return df.where("html_simhash is null").unionByName(hashed.join(keep, "uid", "left_semi"))
 
 
@@ -87,7 +88,7 @@ def shared_phishing_domains(df: DataFrame) -> DataFrame:
 
 
 def drop_shared_domains(df: DataFrame) -> DataFrame:
-    return df.join(shared_phishing_domains(df), "domain", "left_anti")
+    return salted_join(df, shared_phishing_domains(df), ["domain"], "left_anti")
 
 
 def domain_owner(df: DataFrame, priority: Sequence[str]) -> DataFrame:
@@ -97,7 +98,7 @@ def domain_owner(df: DataFrame, priority: Sequence[str]) -> DataFrame:
 
 
 def assign_domain_owner(df: DataFrame, priority: Sequence[str]) -> DataFrame:
-    return df.join(domain_owner(df, priority), ["domain", "source"], "left_semi")
+    return salted_join(df, domain_owner(df, priority), ["domain", "source"], "left_semi")
 
 
 def cap_per_domain(df: DataFrame, cap: int, seed: int) -> DataFrame:
@@ -122,7 +123,7 @@ def carve_holdouts(df: DataFrame, heldout: str, eval_only: Sequence[str], origin
     part = F.when(F.col("source").isin(list(eval_only)), EVAL_ONLY).when(F.col("source") == heldout, HELDOUT).when(newest, TIME_SLICE).otherwise(POOL)
     marked = df.join(cut, "source", "left").withColumn("part", part).drop("cutoff_us")
     held = marked.where(F.col("part") != POOL).select("domain").distinct().withColumn("_held", F.lit(True))
-    return marked.join(held, "domain", "left").withColumn("part", F.when((F.col("part") == POOL) & F.col("_held"), OVERLAP).otherwise(F.col("part"))).drop("_held")
+    return salted_join(marked, held, ["domain"], "left").withColumn("part", F.when((F.col("part") == POOL) & F.col("_held"), OVERLAP).otherwise(F.col("part"))).drop("_held")
 
 
 def depth_bucket(depth: Column, top: int = 4) -> Column:

@@ -21,6 +21,7 @@ from netloom.functions import urls as U
 from netloom.operators import attacks, corpus, dedup, lists, metrics, splits, thresholds, timestamps, verdict
 from netloom.plans import models
 from netloom.plans import sql as Q
+from netloom.plans.instants import INSTANTS
 from netloom.sources import feeds, readers
 from netloom.streaming import index
 
@@ -291,6 +292,8 @@ def oracle_sql() -> dict[str, str]:
     curve = f"""WITH {SCORED}, g AS (SELECT source, score, count(*) FILTER (label = 0) AS neg, count(*) FILTER (label = 1) AS pos FROM s GROUP BY 1, 2),
         r AS (SELECT *, sum(neg) OVER w AS fp, sum(pos) OVER w AS tp, sum(neg) OVER (PARTITION BY source) AS nn, sum(pos) OVER (PARTITION BY source) AS np FROM g WINDOW w AS (PARTITION BY source ORDER BY score DESC))"""
     return {
+        "p4_found": f"WITH {INSTANTS} SELECT row_id, micros AS utc_micros FROM inst JOIN interim USING (row_id) WHERE micros IS NOT NULL AND NOT regexp_matches(interim.date, '{Q.EXACT}')",
+        "p4_normalised": f"WITH {INSTANTS} SELECT row_id, micros AS utc_micros, wall FROM inst",
         "url_parts": f"""WITH {Q.url_cte()} SELECT row_id, scheme, host, port, {Q.normalized()} AS url_norm, {Q.url_key()} AS url_key, len(list_filter(string_split(path, '/'), lambda x: x <> ''))::INT AS depth, {Q.domain()} AS domain,
             'https://www.' || {Q.domain()} AS registrable, substr(sha1(url), 1, 16) AS page_id, substr(sha256({Q.url_key()}), 1, 16) AS key_hash FROM p""",
         "features_url_lengths": _sql_lengths(),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from netloom.functions.urls import SUFFIXES
+from netloom.plans.instants import INSTANTS
 
 EXACT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}Z$"
 SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*://"
@@ -57,11 +58,10 @@ def domain(host: str = "host", suffixes: Sequence[str] = SUFFIXES) -> str:
     return f"""CASE WHEN ({k}) = 0 OR len({parts}) <= ({k}) THEN {host} ELSE array_to_string({parts}[-(({k}) + 1):], '.') END"""
 
 
-#: Interim rows as corpus rows: uid, plain source, exact dates in microseconds.
-CORPUS = rf"""
-    src AS (SELECT *, lower(regexp_replace(source, '[\s]+', '', 'g')) AS src FROM interim),
-    c AS (SELECT src || ':' || row_id AS uid, row_id, url, lower(trim(domain, ' ')) AS domain, label::INT AS label,
-          CASE WHEN regexp_matches(date, '{EXACT}') THEN epoch_us(CAST(replace(replace(date, 'T', ' '), 'Z', '') AS TIMESTAMP)) END AS us, src AS source, depth::INT AS depth, origin, html_simhash FROM src)"""
+#: Interim rows as corpus rows: uid, plain source, plain domain, dates in microseconds.
+CORPUS = rf"""{INSTANTS},
+    src AS (SELECT interim.*, lower(regexp_replace(source, '[\s]+', '', 'g')) AS src, inst.micros AS us FROM interim JOIN inst USING (row_id)),
+    c AS (SELECT src || ':' || row_id AS uid, row_id, url, regexp_replace(regexp_replace(lower(regexp_replace(domain, '[\s\p{{Z}}]+', '', 'g')), '^\.+|\.+$', '', 'g'), '^www\.', '') AS domain, label::INT AS label, us, src AS source, depth::INT AS depth, origin, html_simhash FROM src)"""
 
 
 def priority(names: Sequence[str], col: str = "source") -> str:
