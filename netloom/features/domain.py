@@ -169,7 +169,8 @@ def with_domain_records(hosts: DataFrame, domains: DataFrame) -> DataFrame:
 
 
 def _since(t: Column, now: Column) -> Column:
-    return F.greatest(F.lit(0), F.floor((F.unix_micros(now) - F.unix_micros(t)) / F.lit(86_400_000_000))).cast("int")
+    # greatest() passes over nulls: an unknown time has no age
+    return F.when(t.isNotNull() & now.isNotNull(), F.greatest(F.lit(0), F.floor((F.unix_micros(now) - F.unix_micros(t)) / F.lit(86_400_000_000)))).cast("int")
 
 
 def facts(df: DataFrame, now: Column | None = None) -> DataFrame:

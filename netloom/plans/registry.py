@@ -19,7 +19,7 @@ from netloom.features import lists as word_lists
 from netloom.features import url as url_features
 from netloom.functions import urls as U
 from netloom.operators import attacks, corpus, dedup, lists, metrics, splits, thresholds, timestamps, verdict
-from netloom.plans import models
+from netloom.plans import models, sql_more
 from netloom.plans import sql as Q
 from netloom.plans.instants import INSTANTS
 from netloom.sources import feeds, readers
@@ -90,6 +90,11 @@ def _hashes(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    """Sums of doubles to nine digits, since their last ones depend on the order."""
+    return df.withColumns({c: F.round(c, 9) for c in names})
+
+
 def _tier_a(s: SparkSession, d: str, group: Callable[[], dict]) -> DataFrame:
     p = url_features.parse(table(s, d, "interim").select("row_id", "url"))
     return p.select("row_id", *[v.alias(k) for k, v in group().items()])
@@ -213,11 +218,11 @@ def queries() -> dict[str, Query]:
         "features_url_ratios": lambda s, d: _tier_a(s, d, url_features.ratio_features),
         "features_url_host_form": lambda s, d: _tier_a(s, d, url_features.host_form_features),
         "features_url_obfuscation": lambda s, d: _tier_a(s, d, url_features.obfuscation_features),
-        "features_url_randomness": lambda s, d: _tier_a(s, d, url_features.randomness_features),
+        "features_url_randomness": lambda s, d: _rounded(_tier_a(s, d, url_features.randomness_features), "entropy_url", "entropy_domain"),
         "features_url_words": lambda s, d: _tier_a(s, d, lambda: url_features.word_features(word_lists.Lists())),
         "features_url_squatting": lambda s, d: _tier_a(s, d, lambda: url_features.squatting_features(word_lists.Lists())),
         "features_url_other": lambda s, d: _tier_a(s, d, lambda: url_features.other_features(word_lists.Lists())),
-        "features_url_fitted": lambda s, d: url_features.fitted_features(it(s, d), *url_features.fit(it(s, d))),
+        "features_url_fitted": lambda s, d: _rounded(url_features.fitted_features(it(s, d), *url_features.fit(it(s, d))), "bigram_loglik_domain"),
         "features_html": lambda s, d: html_features.features(it(s, d)),
         "features_domain_dns": lambda s, d: hc(s, d).select("capture_id", *[v.alias(k) for k, v in domain_features.dns_features(hc(s, d)).items()]),
         "features_domain_tls": lambda s, d: hc(s, d).select("capture_id", *[v.alias(k) for k, v in domain_features.tls_features(hc(s, d)).items()]),
@@ -225,7 +230,7 @@ def queries() -> dict[str, Query]:
         "host_flags": lambda s, d: domain_features.host_flags(hc(s, d)),
         "host_latest": lambda s, d: domain_features.latest_hosts(hc(s, d)).groupBy("host").agg(F.unix_micros(F.max("captured_at")).alias("captured_us")),
         "host_facts": lambda s, d: domain_features.facts(hc(s, d)).select("capture_id", "resolves", "has_mx", "has_spf", "has_dmarc", "tls_ok", "tls_verified", "cert_age_days", "cert_free_issuer", "san_count"),
-        "host_signal_table": lambda s, d: domain_features.signal_table(domain_features.signals(domain_features.facts(hc(s, d)))),
+        "host_signal_table": lambda s, d: _rounded(domain_features.signal_table(domain_features.signals(domain_features.facts(hc(s, d)))), "phishing_lo", "phishing_hi", "benign_lo", "benign_hi"),
         "host_risk_table": lambda s, d: domain_features.risk_table(domain_features.signals(domain_features.facts(hc(s, d)))),
         "host_eligibility": lambda s, d: domain_features.eligible(hc(s, d)),
         "host_counts_by_label": lambda s, d: domain_features.counts_by_label(hc(s, d)),
@@ -291,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
     days = lambda a, b: f"(epoch_us({a}) - epoch_us({b})) / 8.64e10"
     curve = f"""WITH {SCORED}, g AS (SELECT source, score, count(*) FILTER (label = 0) AS neg, count(*) FILTER (label = 1) AS pos FROM s GROUP BY 1, 2),
         r AS (SELECT *, sum(neg) OVER w AS fp, sum(pos) OVER w AS tp, sum(neg) OVER (PARTITION BY source) AS nn, sum(pos) OVER (PARTITION BY source) AS np FROM g WINDOW w AS (PARTITION BY source ORDER BY score DESC))"""
-    return {
+    return sql_more.texts(A_PARSE, verdict.FLAGS, verdict.PICTURE_MIN_PROB) | {
         "p4_found": f"WITH {INSTANTS} SELECT row_id, micros AS utc_micros FROM inst JOIN interim USING (row_id) WHERE micros IS NOT NULL AND NOT regexp_matches(interim.date, '{Q.EXACT}')",
         "p4_normalised": f"WITH {INSTANTS} SELECT row_id, micros AS utc_micros, wall FROM inst",
         "url_parts": f"""WITH {Q.url_cte()} SELECT row_id, scheme, host, port, {Q.normalized()} AS url_norm, {Q.url_key()} AS url_key, len(list_filter(string_split(path, '/'), lambda x: x <> ''))::INT AS depth, {Q.domain()} AS domain,
@@ -314,7 +319,7 @@ def oracle_sql() -> dict[str, str]:
         "host_latest": "SELECT host, epoch_us(max(captured_at)) AS captured_us FROM host_capture GROUP BY 1",
         "host_facts": f"""SELECT capture_id, CASE WHEN {tri('dns.resolves', 'A')} = false AND len(list_filter(coalesce(dns.errors, []), lambda e: starts_with(e, 'AAAA:'))) > 0 THEN NULL ELSE {tri('dns.resolves', 'A')} END AS resolves,
             {tri('dns.mx_count > 0', 'MX')} AS has_mx, {tri('dns.spf', 'TXT')} AS has_spf, {tri('dns.dmarc', 'TXT')} AS has_dmarc, CASE WHEN tls IS NOT NULL THEN coalesce(tls.ok, false) END AS tls_ok, CASE WHEN {good} THEN coalesce(tls.verified, false) END AS tls_verified,
-            CASE WHEN {good} THEN greatest(0, floor({days('captured_at', 'tls.not_before')}))::INT END AS cert_age_days,
+            CASE WHEN {good} AND tls.not_before IS NOT NULL THEN greatest(0, floor({days('captured_at', 'tls.not_before')}))::INT END AS cert_age_days,
             CASE WHEN {good} AND trim(coalesce(tls.issuer_o, '')) <> '' THEN contains(lower(tls.issuer_o), 'let''s encrypt') OR contains(lower(tls.issuer_o), 'zerossl') OR contains(lower(tls.issuer_o), 'buypass') END AS cert_free_issuer,
             CASE WHEN {good} THEN len(tls.sans)::INT END AS san_count FROM host_capture""",
         "host_eligibility": f"""SELECT CASE WHEN label IS NULL THEN 'no_label' WHEN regexp_matches(host, '{Q.IPV4}') THEN 'ip_host' WHEN dns IS NULL THEN 'no_dns' WHEN NOT coalesce(dns.resolves, false) THEN 'not_resolving'
