@@ -6,7 +6,7 @@ kind.  Nothing is inferred from data but the column names of vendor tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,9 +83,9 @@ def lossy_text(content: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(folder, name, text) of every file below a path."""
+    """(folder, name, text, path, dir) of every file below a path; ``dir`` is the whole folder, ``folder`` its last name."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return b.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), lossy_text(F.col("content")).alias("text"), "path")
+    return b.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), lossy_text(F.col("content")).alias("text"), "path", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("dir"))
 
 
 def site_info(text: Column) -> Column:
@@ -97,33 +97,54 @@ def site_info(text: Column) -> Column:
 
 
 def from_folders(spark: SparkSession, src: Source, info_name: str = "info.txt", html_name: str = "html.txt") -> DataFrame:
-    """One row for each folder that has an info file and a page."""
+    """One row for each folder that has an info file with a url, with the page of the same folder where there is one."""
     files = read_files(spark, src.path)
-    info = files.where(F.col("name") == info_name).select("folder", site_info(F.col("text")).alias("i"))
-    page = files.where(F.col("name") == html_name).select("folder", F.col("text").alias("page"))
-    d = info.join(page, "folder").where(F.length("i.url") > 0)
+    info = files.where(F.col("name") == info_name).select("dir", site_info(F.col("text")).alias("i"))
+    page = files.where(F.col("name") == html_name).select("dir", F.col("text").alias("page"))
+    d = info.where(F.length("i.url") > 0).join(page, "dir", "left")
     return to_schema(d, F.col("i.url"), F.lit(src.constant_label or 0), F.lit(src.name), F.try_to_timestamp("i.isotime"), F.col("page"), F.lit(src.origin))
 
 
-def from_info_table(spark: SparkSession, src: Source, info_name: str = "info.csv") -> DataFrame:
-    """A csv of folders and urls joined to the first page file of each folder, ``index.html`` first."""
+def from_info_table(spark: SparkSession, src: Source, info_name: str = "info.csv", page_dirs: Sequence[str] = ("",)) -> DataFrame:
+    """A csv of folders and urls with the page of each: of the first of ``page_dirs`` that has any, ``index.html`` at its top first, then by path."""
     info = spark.read.options(header="true").csv(f"{src.path}/{info_name}")
     c = src.columns
+    info = info.where(F.col(c.get("url", "url")).isNotNull())
     files = read_files(spark, src.path, "*.html")
-    page = files.groupBy("folder").agg(F.min_by("text", F.struct((F.col("name") != "index.html").alias("r"), F.col("name"))).alias("page"))
+    found = None
+    for rank, sub in enumerate(page_dirs):
+        root = f"/{sub.strip('/')}/" if sub.strip("/") else "/"
+        # the folder right below the sub-folder, and what is left of the path
+        below = F.substring_index(F.col("path"), src.path.rstrip("/").rsplit("/", 1)[-1] + root, -1)
+        one = files.where(F.contains("path", F.lit(src.path.rstrip("/").rsplit("/", 1)[-1] + root))).select(F.substring_index(below, "/", 1).alias("folder"), F.lit(rank).alias("rank"), F.regexp_replace(below, "^[^/]*/?", "").alias("rest"), "text")
+        found = one if found is None else found.unionByName(one)
+    page = found.groupBy("folder").agg(F.min_by("text", F.struct("rank", (F.col("rest") != "index.html").alias("r"), "rest")).alias("page"))
     d = info.join(page, info[c.get("folder", "folder")] == page["folder"], "left")
     return to_schema(d, F.col(c.get("url", "url")), F.lit(src.constant_label or 0), F.lit(src.name), F.try_to_timestamp(_mapped(info, c, "date", "string")), F.col("page"), F.lit(src.origin))
 
 
 def from_indexed_list(spark: SparkSession, src: Source, list_glob: str = "*.txt") -> DataFrame:
-    """Line i of a dated list file with the page of folder ``<i>_...`` beside it."""
+    """Line i (from 0) of a dated list with the page of the folder ``<i>_...`` that belongs to the list.
+
+    A list with a number in its name besides the date (``urls_7_06_05_2023.txt``)
+    owns the pages below the folder that ends with this number (``pages_7``), one
+    without owns those that lie in no such folder.  Of several pages of a line
+    the first by path counts.
+    """
     lists = read_files(spark, src.path, list_glob)
-    day = F.regexp_extract("name", r"(\d{4}-\d{2}-\d{2})", 1)
-    lines = lists.select(F.posexplode(F.split("text", "\n")).alias("i", "url"), day.alias("day")).where("trim(url) <> ''")
-    pages = read_files(spark, src.path, "*.html").select(F.regexp_extract("folder", r"^(\d+)_", 1).alias("n"), "name", "text").where("n <> ''")
-    page = pages.groupBy(F.col("n").cast("int").alias("i")).agg(F.min_by("text", "name").alias("page"))
-    d = lines.join(page, "i", "left")
-    return to_schema(d, F.col("url"), F.lit(src.constant_label or 1), F.lit(src.name), F.try_to_timestamp("day"), F.col("page"), F.lit(src.origin))
+    iso = F.nullif(F.regexp_extract("name", r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+    written = F.nullif(F.regexp_replace(F.regexp_extract("name", r"(\d{2}_\d{2}_\d{4})\.[a-z]+$", 1), r"^(\d{2})_(\d{2})_(\d{4})$", "$3-$2-$1"), F.lit(""))
+    number = F.regexp_extract(F.regexp_replace("name", r"\d{4}-\d{2}-\d{2}|\d{2}_\d{2}_\d{4}(?=\.[a-z]+$)", ""), r"_(\d+)(?:_|\.|$)", 1)
+    # numbered before blank lines go; a line may end with a return
+    lines = lists.select(F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"\r$", "")))).alias("i", "url"), F.coalesce(iso, written).alias("day"), number.alias("n")).where("url <> ''")
+    site = r"/(\d+)_[^/]*/(?:.*/)?[^/]+\.html$"
+    pages = read_files(spark, src.path, "*.html").where(F.col("path").rlike(site))
+    above = F.regexp_extract("path", r"^(.*?)/\d+_[^/]*/(?:.*/)?[^/]+\.html$", 1)
+    owner = F.regexp_extract(F.substring_index(above, src.path.rstrip("/").rsplit("/", 1)[-1], -1), r"_(\d+)(?:/|$)", 1)
+    page = pages.select(owner.alias("n"), F.regexp_extract("path", site, 1).cast("int").alias("i"), "path", "text").groupBy("n", "i").agg(F.min_by("text", "path").alias("page"))
+    d = lines.join(page, ["n", "i"], "left")
+    origin = F.when(F.col("n") != "", F.concat(F.lit(f"{src.origin or src.name}_"), F.col("n"))).otherwise(F.lit(src.origin))
+    return to_schema(d, F.col("url"), F.lit(src.constant_label or 1), F.lit(src.name), F.try_to_timestamp("day"), F.col("page"), origin)
 
 
 def from_index(index: DataFrame, src: Source, feeds: tuple[str, ...]) -> DataFrame:
@@ -167,10 +188,13 @@ def interim(df: DataFrame) -> DataFrame:
     from netloom.operators.dedup import with_simhash
     from netloom.operators.positions import positions
 
-    d = df.where(F.length("domain") > 0).withColumn("_g", F.lit("all"))
-    order = [F.col("source"), F.xxhash64("url"), F.col("url"), F.col("date"), F.xxhash64("html")]
-    numbered = positions(d, "_g", order, "row_id").drop("_g")
-    return with_simhash(numbered.withColumn("row_id", F.col("row_id") + 1)).withColumn("has_html", F.col("html").isNotNull())
+    from netloom.plans.materialise import materialise
+
+    # written first, so that a row keeps its place; keys alone are sorted and joined back, with the pages left where they are
+    d = materialise(with_simhash(df.where(F.length("domain") > 0)).withColumn("_k", F.monotonically_increasing_id()), "interim-rows")
+    keys = d.select("_k", F.lit("all").alias("_g"), "source", F.xxhash64("url").alias("_u"), "url", "date", F.xxhash64("html").alias("_h"))
+    numbered = positions(keys, "_g", [F.col(c) for c in ("source", "_u", "url", "date", "_h")], "row_id").select("_k", (F.col("row_id") + 1).alias("row_id"))
+    return d.join(numbered, "_k").drop("_k").withColumn("has_html", F.col("html").isNotNull())
 
 
 def preview(df: DataFrame, n: int = 3) -> DataFrame:

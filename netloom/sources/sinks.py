@@ -61,12 +61,15 @@ def save_version(df: DataFrame, path: str, version: int) -> str:
 
 
 def load_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest version, or an empty table."""
-    try:
-        newest = spark.read.schema("version int").json(f"{path}/_versions").agg(F.max("version")).first()[0]
-    except Exception:  # noqa: BLE001 - the path doesn't exist yet
-        newest = None
-    return spark.createDataFrame([], schema) if newest is None else spark.read.schema(schema).parquet(f"{path}/v={newest:06d}")
+    """The newest version, or an empty table where none was ever written; a pointer that can't be read is an error."""
+    jvm = spark.sparkContext._jvm
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_versions")
+    if not pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(pointer):
+        return spark.createDataFrame([], schema)
+    lines = spark.read.schema("version int, _bad string").option("columnNameOfCorruptRecord", "_bad").json(f"{path}/_versions").select("version", "_bad").collect()
+    if not lines or any(r["_bad"] is not None or r["version"] is None for r in lines):
+        raise ValueError(f"damaged version pointer in {path}/_versions")
+    return spark.read.schema(schema).parquet(f"{path}/v={max(r['version'] for r in lines):06d}")
 
 
 def canonical_json(doc: dict) -> bytes:

@@ -1,6 +1,8 @@
 """Readers, feed parsers and writers on small files."""
 
 import gzip
+
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -79,6 +81,48 @@ def test_readers(spark, tmp_path):
     assert readers.union(spark, [src, Source("n", "empty")]).count() == 2
 
 
+def test_sources_of_equal_names(spark, tmp_path):
+    for group in ("g1", "g2"):
+        (tmp_path / "f" / group / "site").mkdir(parents=True)
+        (tmp_path / "f" / group / "site" / "info.txt").write_text(f"http://{group}.com")
+    (tmp_path / "f" / "g1" / "site" / "html.txt").write_text("<p>one</p>")
+    rows = {r.domain: r.html for r in readers.load(spark, Source("f", "folders", str(tmp_path / "f"))).collect()}
+    assert rows == {"g1.com": "<p>one</p>", "g2.com": None}
+    root = tmp_path / "lists"
+    for n, day in ((1, "01_01_2026"), (2, "02_01_2026")):
+        (root / f"pages_{n}" / "full" / "0_x").mkdir(parents=True)
+        (root / f"pages_{n}" / "full" / "0_x" / "index.html").write_text(f"<p>{n}</p>")
+        (root / f"urls_{n}_{day}.txt").write_text(f"http://a{n}.com\r\n\nhttp://b{n}.com\n")
+    (root / "pages_2" / "full" / "2_y" / "z").mkdir(parents=True)
+    (root / "pages_2" / "full" / "2_y" / "z" / "index.html").write_text("<p>deep</p>")
+    rows = {r.domain: (r.html, r.date.day, r.origin) for r in readers.load(spark, Source("l", "indexed_list", str(root))).collect()}
+    assert rows == {"a1.com": ("<p>1</p>", 1, "l_1"), "b1.com": (None, 1, "l_1"), "a2.com": ("<p>2</p>", 2, "l_2"), "b2.com": ("<p>deep</p>", 2, "l_2")}
+
+
+def test_damaged_pointer(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "n int")
+    sinks.save_version(df, str(tmp_path / "v"), 1)
+    assert sinks.load_version(spark, str(tmp_path / "v"), "n int").count() == 1
+    for f in (tmp_path / "v" / "_versions").glob("part-*"):
+        f.write_text("{oops")
+    for f in (tmp_path / "v" / "_versions").glob(".*.crc"):
+        f.unlink()
+    with pytest.raises(ValueError):
+        sinks.load_version(spark, str(tmp_path / "v"), "n int")
+
+
+def test_scratch_is_deleted(spark):
+    import os
+
+    from netloom.plans import materialise as m
+
+    with m.scratch(spark):
+        m.materialise(spark.range(3), "scratch")
+        path = m._WRITTEN[-1].removeprefix("file://")
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path)
+
+
 def test_interim_and_writers(spark, tmp_path):
     df = spark.createDataFrame([("http://a.com", "a.com", 1, None, "s", "<p>" + "word " * 60 + "</p>", 0, "", "a.com"), ("http://b.com", "b.com", 0, None, "s", None, 0, "", "b.com"), ("x", "", 0, None, "s", None, 0, "", "")], UNIFIED)
     it = readers.interim(df)
