@@ -19,7 +19,7 @@ from netloom.features import lists as word_lists
 from netloom.features import url as url_features
 from netloom.functions import urls as U
 from netloom.operators import attacks, corpus, dedup, lists, metrics, splits, thresholds, timestamps, verdict
-from netloom.plans import models, sql_more
+from netloom.plans import models, reports, sql_more
 from netloom.plans import sql as Q
 from netloom.plans.instants import INSTANTS
 from netloom.sources import feeds, readers
@@ -206,7 +206,7 @@ def queries() -> dict[str, Query]:
     it = lambda s, d: t(s, d, "interim")
     hc = lambda s, d: t(s, d, "host_capture")
     lists_of = lambda s, d: lists.build_lists(*_list_inputs(s, d))
-    return {
+    return reports.queries(it, _corpus, _scored, table) | {
         "p4_found": lambda s, d: timestamps.found(it(s, d), t(s, d, "source_cfg")),
         "p4_normalised": lambda s, d: timestamps.to_utc(it(s, d).select("row_id", "source", "date"), t(s, d, "source_cfg")).select("row_id", "utc_micros", "wall"),
         "url_parts": _url_parts,
@@ -296,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
     days = lambda a, b: f"(epoch_us({a}) - epoch_us({b})) / 8.64e10"
     curve = f"""WITH {SCORED}, g AS (SELECT source, score, count(*) FILTER (label = 0) AS neg, count(*) FILTER (label = 1) AS pos FROM s GROUP BY 1, 2),
         r AS (SELECT *, sum(neg) OVER w AS fp, sum(pos) OVER w AS tp, sum(neg) OVER (PARTITION BY source) AS nn, sum(pos) OVER (PARTITION BY source) AS np FROM g WINDOW w AS (PARTITION BY source ORDER BY score DESC))"""
-    return sql_more.texts(A_PARSE, verdict.FLAGS, verdict.PICTURE_MIN_PROB) | {
+    return sql_more.texts(A_PARSE, verdict.FLAGS, verdict.PICTURE_MIN_PROB) | reports.oracle_sql(SCORED) | {
         "p4_found": f"WITH {INSTANTS} SELECT row_id, micros AS utc_micros FROM inst JOIN interim USING (row_id) WHERE micros IS NOT NULL AND NOT regexp_matches(interim.date, '{Q.EXACT}')",
         "p4_normalised": f"WITH {INSTANTS} SELECT row_id, micros AS utc_micros, wall FROM inst",
         "url_parts": f"""WITH {Q.url_cte()} SELECT row_id, scheme, host, port, {Q.normalized()} AS url_norm, {Q.url_key()} AS url_key, len(list_filter(string_split(path, '/'), lambda x: x <> ''))::INT AS depth, {Q.domain()} AS domain,
