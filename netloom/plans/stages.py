@@ -23,3 +23,9 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once, for values that an expression names several times."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores; a table read in more stays as it is, without a shuffle."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
