@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.functions.urls import unit_hash
 from netloom.operators import metrics as M
@@ -14,64 +18,70 @@ from netloom.plans.materialise import materialise
 from netloom.plans.stages import once
 
 
-def pooled(cal: DataFrame, target: float) -> DataFrame:
-    return M.operating_point(cal, target).select(F.lit("pooled").alias("rule"), "threshold", F.lit("pooled").alias("set_by"))
+class Curves:
+    """The curves that the rules of every target are read from, each written once: of all rows, of each source, of sources that weigh alike, of each source's negatives against all positives."""
 
+    def __init__(self, cal: DataFrame, balance_negatives: int = 100) -> None:
+        self.cal = cal
+        self.whole = materialise(M.curve(cal), "curve-whole")
+        self.each = materialise(M.curve(cal, ["source"]), "curve-each")
+        counts = {r["source"]: r["n"] for r in cal.where("label = 0").groupBy("source").agg(F.count("*").alias("n")).collect()}
+        self.negatives: dict[str, int] = counts
+        self.balanced = sorted(s for s, n in counts.items() if n >= balance_negatives)
+        # sources are a handful
+        weight = F.lit(1.0) if not self.balanced else F.lit(0.0)
+        for name in self.balanced:
+            weight = F.when(F.col("source") == name, F.lit(1.0 / counts[name])).otherwise(weight)
+        self.alike = materialise(M.curve(cal.withColumn("weight", weight), (), "weight"), "curve-alike")
+        pos = cal.where("label = 1").groupBy("score").agg(F.count("*").cast("double").alias("w"))
+        neg = cal.where("label = 0").groupBy("source", "score").agg(F.count("*").cast("double").alias("w")).select(F.col("source").alias("set_by"), "score", F.lit(0).alias("label"), "w")
+        neg = neg.unionByName(neg.groupBy(F.lit("pooled").alias("set_by"), "score", "label").agg(F.sum("w").alias("w")))
+        every = F.array(*[F.lit(n) for n in ["pooled", *sorted(counts)]])
+        self.certified = materialise(M.curve(neg.unionByName(pos.select(F.explode(every).alias("set_by"), "score", F.lit(1).alias("label"), "w")), ["set_by"], "w"), "curve-certified")
 
-def by_source(cal: DataFrame, target: float, min_negatives: int = 10) -> DataFrame:
+
+def pooled(c: Curves, target: float) -> DataFrame:
+    return M.point(c.whole, target).select(F.lit("pooled").alias("rule"), "threshold", F.lit("pooled").alias("set_by"))
+
+
+def by_source(c: Curves, target: float, min_negatives: int = 10) -> DataFrame:
     """(source, threshold) of each source with both classes and enough negatives."""
-    return M.operating_point(cal, target, ["source"], min_negatives).where("threshold is not null and not granularity_limited").select("source", "threshold")
+    return M.point(c.each, target, ["source"], min_negatives).where("threshold is not null and not granularity_limited").select("source", "threshold")
 
 
-def worst_source(cal: DataFrame, target: float, min_negatives: int = 10) -> DataFrame:
+def worst_source(c: Curves, target: float, min_negatives: int = 10) -> DataFrame:
     """The highest of the pooled and the sources' own thresholds."""
-    every = by_source(cal, target, min_negatives).select("threshold", F.col("source").alias("set_by")).unionByName(pooled(cal, target).select("threshold", "set_by"))
+    every = by_source(c, target, min_negatives).select("threshold", F.col("source").alias("set_by")).unionByName(pooled(c, target).select("threshold", "set_by"))
     best = F.max(F.struct("threshold", (F.col("set_by") == "pooled").alias("p"), "set_by"))
     return every.agg(best.alias("b")).select(F.lit("worst_source").alias("rule"), "b.threshold", "b.set_by")
 
 
-def balanced(cal: DataFrame, target: float, min_negatives: int = 100) -> DataFrame:
+def balanced(c: Curves, target: float) -> DataFrame:
     """Each source with enough negatives weighs the same; without any, the pooled rule."""
-    keep = cal.where("label = 0").groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") >= min_negatives)
-    names = keep.agg(F.array_join(F.sort_array(F.collect_list("source")), ",").alias("set_by"), F.count("*").alias("k"))
-    w = cal.join(F.broadcast(keep), "source", "left").join(F.broadcast(names))
-    w = w.withColumn("weight", F.when(F.col("k") == 0, F.lit(1.0)).otherwise(F.coalesce(1.0 / F.col("n"), F.lit(0.0))))
-    point = M.operating_point(w, target, weight="weight").select("threshold")
-    return point.join(F.broadcast(names)).select(F.lit("balanced").alias("rule"), "threshold", F.when(F.col("k") == 0, "pooled (no source eligible)").otherwise(F.col("set_by")).alias("set_by"))
-
-
-def _certified(cal: DataFrame, target: float, confidence: float) -> DataFrame:
-    """Per source the threshold with at most as many false positives as the bound allows, over all positives."""
-    counts = {r["source"]: r["n"] for r in cal.where("label = 0").groupBy("source").agg(F.count("*").alias("n")).collect()}
-    allowed = [(s, M.max_false_positives(n, target, confidence)) for s, n in counts.items()]
-    total = M.max_false_positives(sum(counts.values()), target, confidence)
-    spark = cal.sparkSession
-    table = spark.createDataFrame([("pooled", total), *allowed], "set_by string, k int").where("k >= 0")
-    pos = cal.where("label = 1").groupBy("score").agg(F.count("*").alias("pos"))
-    neg = cal.where("label = 0").groupBy("source", "score").agg(F.count("*").alias("neg"))
-    scored = neg.select(F.col("source").alias("set_by"), "score", F.lit(0).alias("label"), F.col("neg").cast("double").alias("w"))
-    scored = scored.unionByName(scored.groupBy(F.lit("pooled").alias("set_by"), "score", "label").agg(F.sum("w").alias("w")))
-    names = scored.select("set_by").distinct()
-    scored = scored.unionByName(pos.join(F.broadcast(names)).select("set_by", "score", F.lit(1).alias("label"), F.col("pos").cast("double").alias("w")))
-    c = M.curve(scored, ["set_by"], "w").join(F.broadcast(table), "set_by")
-    ok = (F.col("fp") <= F.col("k")) & (F.col("tp") > 0)
-    return c.groupBy("set_by").agg(F.coalesce(F.max(F.when(ok, F.struct("tp", "score")))["score"], F.lit(M.NO_ALARM)).alias("threshold"))
+    set_by = ",".join(c.balanced) if c.balanced else "pooled (no source eligible)"
+    return M.point(c.alike, target).select(F.lit("balanced").alias("rule"), "threshold", F.lit(set_by).alias("set_by"))
 
 
-def ucb_binom(cal: DataFrame, target: float, confidence: float = 0.95) -> DataFrame:
-    best = F.max(F.struct("threshold", "set_by"))
-    out = _certified(cal, target, confidence).agg(best.alias("b")).select("b.*")
+def ucb_binom(c: Curves, target: float, confidence: float = 0.95) -> DataFrame:
+    """The highest threshold with as few false positives as the bound allows, of any source or all, over all positives."""
+    allowed = [(s, M.max_false_positives(n, target, confidence)) for s, n in c.negatives.items()] + [("pooled", M.max_false_positives(sum(c.negatives.values()), target, confidence))]
+    table = c.cal.sparkSession.createDataFrame(allowed, "set_by string, k int").where("k >= 0")
+    ok = (F.col("fp") <= F.col("k")) & (F.col("tp") > 0)
+    own = c.certified.join(F.broadcast(table), "set_by").groupBy("set_by").agg(F.coalesce(F.max(F.when(ok, F.struct("tp", "score")))["score"], F.lit(M.NO_ALARM)).alias("threshold"))
+    out = own.agg(F.max(F.struct("threshold", "set_by")).alias("b")).select("b.*")
     return out.select(F.lit("ucb_binom").alias("rule"), F.coalesce("threshold", F.lit(M.NO_ALARM)).alias("threshold"), F.when(F.col("threshold") < M.NO_ALARM, F.col("set_by")).otherwise("uncertifiable (cal too small)").alias("set_by"))
 
 
-def boot_curves(cal: DataFrame, n_boot: int = 200, seed: int = 7) -> DataFrame:
-    """The curve of each source and replicate ``b`` of a domain bootstrap, over all positives; written once for all targets.
+def boot_cuts(cal: DataFrame, targets: Sequence[float], n_boot: int = 200, seed: int = 7) -> dict[tuple[str, float], list[float | None]]:
+    """For each source and target, of every replicate of a domain bootstrap the highest score at which too many negatives are at or above it.
 
     Each domain gets a Poisson(1) count from the hash of replicate and domain,
-    which stands for drawing domains with replacement.
+    which stands for drawing domains with replacement.  Rows are counted by
+    source, domain and score before replicates are drawn; what comes back is a
+    number for each source, replicate and target.
     """
     domain = F.coalesce("domain", F.lit(""))
-    neg = cal.where("label = 0").groupBy("source", domain.alias("domain"), "score").agg(F.count("*").alias("n"))
+    neg = materialise(cal.where("label = 0").groupBy("source", domain.alias("domain"), "score").agg(F.count("*").alias("n")), "boot-cells")
 
     def count(u: Column) -> Column:
         out, edge, p = F.lit(0), 0.36787944117144233, 0.36787944117144233
@@ -84,46 +94,70 @@ def boot_curves(cal: DataFrame, n_boot: int = 200, seed: int = 7) -> DataFrame:
     # one hash a domain and replicate, whatever the number of its scores
     draws = once(neg.select("domain").distinct(), us=F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda b: unit_hash(F.col("domain"), b + F.lit(seed * 1000))))
     draws = draws.select("domain", F.transform("us", count).alias("draws"))
-    neg = salted_join(neg, draws, ["domain"]).select("source", "score", "n", F.posexplode("draws").alias("b", "k")).where("k > 0")
-    neg = neg.groupBy("source", "b", "score").agg(F.sum(F.col("n") * F.col("k")).cast("double").alias("w")).withColumn("label", F.lit(0))
-    neg = materialise(neg, "boot-negatives")
-    pos = cal.where("label = 1").groupBy("score").agg(F.count("*").cast("double").alias("w")).withColumn("label", F.lit(1))
-    groups = F.broadcast(neg.select("source", "b").distinct())
-    both = neg.select("source", "b", "score", "label", "w").unionByName(pos.join(groups).select("source", "b", "score", "label", "w"))
-    return materialise(M.curve(both, ["source", "b"], "w"), "boot-curves")
+    drawn = salted_join(neg, draws, ["domain"]).select("source", "score", "n", F.posexplode("draws").alias("b", "k")).where("k > 0")
+    weights = materialise(drawn.groupBy("source", "b", "score").agg(F.sum(F.col("n") * F.col("k")).cast("double").alias("w")).withColumn("label", F.lit(0)), "boot-negatives")
+    c = M.curve(weights, ["source", "b"], "w")
+    over = lambda t: F.col("fp") > F.lit(t) * F.col("n_neg") + 1e-9 * F.greatest(F.col("n_neg"), F.lit(1.0))
+    rows = c.groupBy("source", "b").agg(*[F.max(F.when(over(t), F.col("score"))).alias(f"c{i}") for i, t in enumerate(targets)]).collect()
+    return {(s, t): [r[f"c{i}"] for r in rows if r["source"] == s] for s in {r["source"] for r in rows} for i, t in enumerate(targets)}
+
+
+def first_above(positives: DataFrame, cuts: Sequence[float]) -> dict[float | None, float]:
+    """The lowest positive score above each cut, and above none; by one pass in which every score finds its place among the cuts."""
+    edges = np.array(sorted(set(cuts)), dtype=float)
+
+    @F.pandas_udf(T.IntegerType())
+    def place(score: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, score.to_numpy(), side="left").astype(np.int32), index=score.index)
+
+    lows = {r["at"]: r["low"] for r in positives.groupBy(place("score").alias("at")).agg(F.min("score").alias("low")).collect()}
+    out: dict[float | None, float] = {}
+    best = M.NO_ALARM
+    for i in range(len(edges), -1, -1):
+        best = min(best, lows.get(i, M.NO_ALARM))
+        out[float(edges[i - 1]) if i else None] = best
+    return out
 
 
-def ucb_boot(cal: DataFrame, target: float, confidence: float = 0.95, n_boot: int = 200, min_negatives: int = 10, seed: int = 7, curves: DataFrame | None = None) -> DataFrame:
-    """Per source the upper quantile of thresholds over domain resamples; ``curves``: those of :func:`boot_curves`, if at hand."""
-    eligible = M.operating_point(cal, target, ["source"], min_negatives).where("not granularity_limited").select("source")
-    curves = boot_curves(cal, n_boot, seed) if curves is None else curves
-    points = M.point(curves.join(F.broadcast(eligible), "source", "left_semi"), target, ["source", "b"])
-    upper = points.groupBy("source").agg(F.sort_array(F.collect_list("threshold")).alias("t")).select(F.col("source").alias("set_by"), F.element_at("t", F.least(F.size("t"), F.ceil(F.lit(confidence) * (F.size("t") - 1)).cast("int") + 1)).alias("threshold"))
-    every = upper.select("threshold", "set_by").unionByName(pooled(cal, target).select("threshold", "set_by"))
-    return every.agg(F.max(F.struct("threshold", "set_by")).alias("b")).select(F.lit("ucb_boot").alias("rule"), "b.threshold", "b.set_by")
+def ucb_boot(c: Curves, targets: Sequence[float], confidence: float = 0.95, n_boot: int = 200, min_negatives: int = 10, seed: int = 7) -> DataFrame:
+    """(target_fpr, rule, threshold, set_by): per source the upper quantile of the thresholds of its resamples, the highest of them and of the pooled one."""
+    cuts = boot_cuts(c.cal, targets, n_boot, seed)
+    above = first_above(c.cal.where("label = 1").select("score").distinct(), [x for xs in cuts.values() for x in xs if x is not None])
+    upper = []
+    for (source, target), xs in cuts.items():
+        t = sorted(above[x] for x in xs)
+        upper.append((float(target), source, t[min(len(t) - 1, math.ceil(confidence * (len(t) - 1)))]))
+    spark = c.cal.sparkSession
+    own = spark.createDataFrame(upper, "target_fpr double, source string, threshold double")
+    out = None
+    for t in targets:
+        eligible = M.point(c.each, t, ["source"], min_negatives).where("not granularity_limited").select("source")
+        one = own.where(F.col("target_fpr") == t).join(eligible, "source", "left_semi").select("threshold", F.col("source").alias("set_by")).unionByName(pooled(c, t).select("threshold", "set_by"))
+        one = one.agg(F.max(F.struct("threshold", "set_by")).alias("b")).select(F.lit(float(t)).alias("target_fpr"), F.lit("ucb_boot").alias("rule"), "b.threshold", "b.set_by")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def rules(cal: DataFrame, targets: Sequence[float], min_negatives: int = 10, confidence: float = 0.95, n_boot: int = 200) -> DataFrame:
     """(target_fpr, rule, threshold, set_by) of all five rules."""
-    cal = materialise(cal.select("source", "domain", "label", "score"), "cal")
-    curves = boot_curves(cal, n_boot)
-    out = None
+    c = Curves(materialise(cal.select("source", "domain", "label", "score"), "cal"))
+    out = ucb_boot(c, targets, confidence, n_boot, min_negatives)
     for t in targets:
-        for one in (pooled(cal, t), worst_source(cal, t, min_negatives), balanced(cal, t), ucb_binom(cal, t, confidence), ucb_boot(cal, t, confidence, n_boot, min_negatives, curves=curves)):
-            # written one by one: a single plan of all rules and targets outgrows the driver
-            one = materialise(one.select(F.lit(t).alias("target_fpr"), "rule", "threshold", "set_by"), "rule")
-            out = one if out is None else out.unionByName(one)
-    return out
+        for one in (pooled(c, t), worst_source(c, t, min_negatives), balanced(c, t), ucb_binom(c, t, confidence)):
+            out = out.unionByName(one.select(F.lit(float(t)).alias("target_fpr"), "rule", "threshold", "set_by"))
+    # a few rows from many small plans
+    return materialise(out.coalesce(1), "rules")
 
 
 def evaluate_rules(rows: DataFrame, thresholds: DataFrame, confidence: float = 0.95, min_negatives: int = 10) -> DataFrame:
     """What each threshold does to ``rows``: counts, rates and the upper bound of the false-positive rate."""
-    d = rows.select("label", "score", "domain").join(F.broadcast(thresholds.select("target_fpr", "rule", "threshold")))
+    # counted by score before the few thresholds meet them; the domains don't depend on a threshold
+    counts = rows.groupBy("label", "score").agg(F.count("*").alias("n"))
+    domains = rows.agg(F.countDistinct("domain").alias("n_domains"), F.countDistinct(F.when(F.col("label") == 0, F.col("domain"))).alias("n_neg_domains"))
+    d = counts.join(F.broadcast(thresholds.select("target_fpr", "rule", "threshold")))
     hit, neg, pos = F.col("score") >= F.col("threshold"), F.col("label") == 0, F.col("label") == 1
-    out = d.groupBy("target_fpr", "rule").agg(
-        F.count("*").alias("n_urls"), F.count_if(pos).alias("n_pos"), F.count_if(neg).alias("n_neg"), F.countDistinct("domain").alias("n_domains"),
-        F.countDistinct(F.when(neg, F.col("domain"))).alias("n_neg_domains"), F.count_if(hit & neg).alias("fp"), F.count_if(hit & pos).alias("tp"),
-    )
+    of = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    out = d.groupBy("target_fpr", "rule").agg(F.sum("n").alias("n_urls"), of(pos).alias("n_pos"), of(neg).alias("n_neg"), of(hit & neg).alias("fp"), of(hit & pos).alias("tp")).join(F.broadcast(domains))
     ratio = lambda a, b: F.col(a) / F.nullif(F.col(b).cast("double"), F.lit(0.0))
     return out.select(
         "target_fpr", "rule", "n_urls", "n_pos", "n_neg", "n_domains", "n_neg_domains", "fp", ratio("fp", "n_neg").alias("fpr"),
