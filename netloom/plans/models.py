@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -47,7 +48,7 @@ def linear(features: Sequence[str]) -> Pipeline:
 
 def _vocabulary(stages: list, column: str, min_df: float, weight: str | None) -> Pipeline:
     lr = LogisticRegression(featuresCol="tfidf", labelCol="label", regParam=0.01)
-    return Pipeline(stages=[*stages, CountVectorizer(inputCol=column, outputCol="tf", minDF=min_df, vocabSize=1 << 18), IDF(inputCol="tf", outputCol="tfidf"), lr.setWeightCol(weight) if weight else lr])
+    return Pipeline(stages=[*stages, CountVectorizer(inputCol=column, outputCol="tf", minDF=min_df, vocabSize=500_000), IDF(inputCol="tf", outputCol="tfidf"), lr.setWeightCol(weight) if weight else lr])
 
 
 def char_ngrams(text: str = "text", lo: int = 3, hi: int = 5, min_df: float = 2, weight: str | None = None) -> Pipeline:
@@ -160,27 +161,56 @@ def score_trees(df: DataFrame, bundle: list[dict], features: Sequence[str], name
     return df.withColumn(name, score(F.struct(*[F.col(c).cast("double") for c in features])))
 
 
-def tree_contributions(bundle: list[dict], row: np.ndarray) -> np.ndarray:
-    """What each feature adds to the score of a row, walking every tree's path: the change of the mean below a node, credited to the node's feature.
+def _leaves(tree: dict) -> list[tuple[float, dict[int, tuple[float, float, float]]]]:
+    """(value, {feature: (above, up to, share)}) of each leaf: the interval of a feature that leads there, and the share of rows that its splits let through."""
+    out = []
+    stack: list[tuple[int, dict[int, tuple[float, float, float]]]] = [(0, {})]
+    while stack:
+        at, path = stack.pop()
+        f = int(tree["feature"][at])
+        if f < 0:
+            out.append((float(tree["value"][at]), path))
+            continue
+        cut, sides = np.float32(tree["threshold"][at]), (int(tree["left"][at]), int(tree["right"][at]))
+        whole = tree["cover"][sides[0]] + tree["cover"][sides[1]]
+        above, upto, share = path.get(f, (-np.inf, np.inf, 1.0))
+        for side, child in enumerate(sides):
+            part = tree["cover"][child] / whole if whole else 0.5
+            new = (above, min(upto, cut), share * part) if side == 0 else (max(above, cut), upto, share * part)
+            stack.append((child, {**path, f: new}))
+    return out
+
 
-    The parts and the ensemble's mean add up to the score.
+def tree_contributions(bundle: list[dict], x: np.ndarray) -> np.ndarray:
+    """Path-dependent Shapley values of each row's features, with the ensemble's mean as last column; they add up to the score.
+
+    A leaf's value counts, for a set of known features, as far as the row goes
+    towards it in them, times the shares of rows that go there in the others.
+    So every leaf is a product over the few features of its path; their Shapley
+    values are sums over the elementary polynomials of the others, for all rows
+    of the batch at once.  Features off the path add nothing.
     """
-    out = np.zeros(len(row) + 1)
-    row = row.astype(np.float32)
-    for t in bundle:
-        mean = t["value"].astype(float).copy()
-        for at in range(len(mean) - 1, -1, -1):
-            if t["feature"][at] >= 0:
-                a, b = t["left"][at], t["right"][at]
-                whole = t["cover"][a] + t["cover"][b]
-                mean[at] = (mean[a] * t["cover"][a] + mean[b] * t["cover"][b]) / whole if whole else (mean[a] + mean[b]) / 2
-        out[-1] += mean[0]
-        at = 0
-        while t["feature"][at] >= 0:
-            f = t["feature"][at]
-            nxt = t["left"][at] if row[f] <= np.float32(t["threshold"][at]) else t["right"][at]
-            out[f] += mean[nxt] - mean[at]
-            at = nxt
+    x = x.astype(np.float32)
+    out = np.zeros((len(x), x.shape[1] + 1))
+    for tree in bundle:
+        for value, path in _leaves(tree):
+            names = list(path)
+            d = len(names)
+            share = np.array([path[f][2] for f in names])
+            out[:, -1] += value * share.prod()
+            if not d:
+                continue
+            goes = np.stack([(x[:, f] > path[f][0]) & (x[:, f] <= path[f][1]) for f in names], axis=1).astype(float)
+            for i, f in enumerate(names):
+                # coefficient k: the sum over sets of k known others
+                poly = np.zeros((len(x), d))
+                poly[:, 0] = 1.0
+                for j in range(d):
+                    if j != i:
+                        poly[:, 1:] = poly[:, 1:] * share[j] + poly[:, :-1] * goes[:, j : j + 1]
+                        poly[:, 0] *= share[j]
+                weights = np.array([1 / (d * math.comb(d - 1, k)) for k in range(d)])
+                out[:, f] += value * (goes[:, i] - share[i]) * (poly @ weights)
     return out
 
 
@@ -190,7 +220,7 @@ def explain(df: DataFrame, bundle: list[dict], features: Sequence[str], top: int
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def parts(x: pd.DataFrame) -> pd.Series:
-        return pd.Series([tree_contributions(shared.value, r).tolist() for r in x.to_numpy(dtype=float)])
+        return pd.Series(tree_contributions(shared.value, x.to_numpy(dtype=float)).tolist())
 
     d = df.withColumn("_phi", parts(F.struct(*[F.col(c).cast("double") for c in features])))
     names = F.array(*[F.lit(c) for c in features])
@@ -198,6 +228,60 @@ def explain(df: DataFrame, bundle: list[dict], features: Sequence[str], top: int
     return d.withColumn("reasons", F.slice(F.sort_array(F.filter(pairs, lambda p: p["phi"] > least), asc=False), 1, top)).drop("_phi")
 
 
+class Hybrid:
+    """Trees on features and on the log-odds of text models, which score the training rows out of fold and others by a model of all rows.
+
+    With the features of a page and text models of its text beside those of the
+    address this is the page model as well; nulls (no page) are flagged.
+    """
+
+    def __init__(self, features: Sequence[str], texts: dict[str, Callable[[], Pipeline]], make: Callable[[Sequence[str]], Pipeline] = trees, folds: int = 3) -> None:
+        self.features, self.texts, self.make, self.folds = list(features), texts, make, folds
+
+    def fit(self, df: DataFrame, key: str = "row_id") -> Hybrid:
+        """``df``: key, label, domain, features and the texts' columns."""
+        base = df
+        for name, make in self.texts.items():
+            own = out_of_fold(df, make, self.folds, name=f"{name}_p").select(key, f"{name}_p")
+            base = base.join(own, key)
+        self.models = {name: make().fit(df) for name, make in self.texts.items()}
+        ready, names = self._columns(base)
+        self.top = self.make(names).fit(ready)
+        return self
+
+    def _columns(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        df = df.withColumns({f"{n}_l": logit(F.col(f"{n}_p")) for n in self.texts})
+        ready, names = with_missing(df, self.features)
+        return ready, [*names, *[f"{n}_l" for n in self.texts]]
+
+    def score(self, df: DataFrame, name: str = "score") -> DataFrame:
+        columns = [c for c in df.columns if c != name]
+        out = df
+        for text, model in self.models.items():
+            out = probability(model, out, f"{text}_p")
+        ready, _ = self._columns(out)
+        scored = probability(self.top, ready, name)
+        # nulls come back where they stood
+        undo = [F.when(F.col(f"{c}_missing") == 0, F.col(c)).alias(c) if c in self.features else F.col(c) for c in columns]
+        return scored.select(*undo, name)
+
+
+def propensity(df: DataFrame, features: Sequence[str], seen: str = "has_page", make: Callable[[Sequence[str]], Pipeline] = trees) -> Callable[[DataFrame], DataFrame]:
+    """Fits, for each class, the chance that a row has a page; the returned function adds ``propensity`` by a row's own class."""
+    ready, names = with_missing(df.withColumn("_class", F.col("label")).withColumn("label", F.col(seen).cast("int")), features)
+    models = {y: make(names).fit(ready.where(F.col("_class") == y)) for y in (0, 1)}
+
+    def apply(rows: DataFrame) -> DataFrame:
+        marked, _ = with_missing(rows, features)
+        out = None
+        for y, model in models.items():
+            one = probability(model, marked.where(F.col("label") == y), "propensity")
+            out = one if out is None else out.unionByName(one)
+        return out.drop(*[f"{c}_missing" for c in features])
+
+    return apply
+
+
 def leave_one_source_out(df: DataFrame, make: Callable[[], Pipeline], sources: Sequence[str]) -> DataFrame:
     """Every listed source scored by a model trained without it."""
     out = None
