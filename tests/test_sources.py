@@ -137,3 +137,16 @@ def test_interim_and_writers(spark, tmp_path):
     status = spark.createDataFrame([("p", "failed", 1), ("p", "ok", 2)], "page_id string, status string, at int")
     assert {r.page_id: r.status for r in sinks.render_index(sample, status).collect()} == {"p": "ok", "q": "pending"}
     assert [r.page_id for r in sinks.todo(sample, status).collect()] == ["q"]
+
+
+def test_public_suffixes_from_a_file(spark, tmp_path):
+    from netloom.operators import suffixes
+
+    (tmp_path / "list.dat").write_text("// public\ncom\nuk\nco.uk\ngov.in // note\nin\ncom.pl\npl\nck\n*.ck\n!www.ck\n\n// ===BEGIN PRIVATE DOMAINS===\ngithub.io\nweb.app\n")
+    rules = suffixes.read_suffixes(spark, str(tmp_path / "list.dat"))
+    assert rules.count() == 12 and rules.where("private").count() == 2
+    want = {"login.secure.paypal.co.uk": "paypal.co.uk", "a.gov.in": "a.gov.in", "b.a.gov.in": "a.gov.in", "x.com.pl": "x.com.pl", "a.b.foo.ck": "b.foo.ck", "a.www.ck": "www.ck", "1.2.3.4": "1.2.3.4", "a.web.app": "web.app", "co.uk": "co.uk", "localhost": "localhost", "x.y.unknown": "y.unknown"}
+    df = spark.createDataFrame([(h,) for h in [*want, None, ""]], "host string").withColumn("size", F.lit(9))
+    assert {r.host: r.domain for r in suffixes.registrable(df, rules).collect()} == want
+    own = {r.host: r.domain for r in suffixes.registrable(df, rules, private=True).collect()}
+    assert own["a.web.app"] == "a.web.app"
