@@ -22,6 +22,7 @@ from netloom.operators import attacks, corpus, dedup, lists, metrics, splits, th
 from netloom.plans import models, reports, sql_more
 from netloom.plans import sql as Q
 from netloom.plans.instants import INSTANTS
+from netloom.plans.stages import spread
 from netloom.sources import feeds, readers
 from netloom.streaming import index
 
@@ -222,6 +223,7 @@ def queries() -> dict[str, Query]:
         "features_url_words": lambda s, d: _tier_a(s, d, lambda: url_features.word_features(word_lists.Lists())),
         "features_url_squatting": lambda s, d: _tier_a(s, d, lambda: url_features.squatting_features(word_lists.Lists())),
         "features_url_other": lambda s, d: _tier_a(s, d, lambda: url_features.other_features(word_lists.Lists())),
+        "features_url_all": lambda s, d: _rounded(url_features.features(spread(it(s, d).select("row_id", "url"))), "entropy_url", "entropy_domain"),
         "features_url_fitted": lambda s, d: _rounded(url_features.fitted_features(it(s, d), *url_features.fit(it(s, d))), "bigram_loglik_domain"),
         "features_html": lambda s, d: html_features.features(it(s, d)),
         "features_domain_dns": lambda s, d: hc(s, d).select("capture_id", *[v.alias(k) for k, v in domain_features.dns_features(hc(s, d)).items()]),
@@ -296,7 +298,10 @@ def oracle_sql() -> dict[str, str]:
     days = lambda a, b: f"(epoch_us({a}) - epoch_us({b})) / 8.64e10"
     curve = f"""WITH {SCORED}, g AS (SELECT source, score, count(*) FILTER (label = 0) AS neg, count(*) FILTER (label = 1) AS pos FROM s GROUP BY 1, 2),
         r AS (SELECT *, sum(neg) OVER w AS fp, sum(pos) OVER w AS tp, sum(neg) OVER (PARTITION BY source) AS nn, sum(pos) OVER (PARTITION BY source) AS np FROM g WINDOW w AS (PARTITION BY source ORDER BY score DESC))"""
-    return sql_more.texts(A_PARSE, verdict.FLAGS, verdict.PICTURE_MIN_PROB) | reports.oracle_sql(SCORED) | {
+    more = sql_more.texts(A_PARSE, verdict.FLAGS, verdict.PICTURE_MIN_PROB)
+    groups = [_sql_lengths(), _sql_counts(), _sql_ratios(), _sql_host_form(), _sql_words(), _sql_other(), *[more[f"features_url_{g}"] for g in ("obfuscation", "randomness", "squatting")]]
+    every = "SELECT * FROM " + " JOIN ".join(f"({g}) g{i}" + (" USING (row_id)" if i else "") for i, g in enumerate(groups))
+    return more | {"features_url_all": every} | reports.oracle_sql(SCORED) | {
         "p4_found": f"WITH {INSTANTS} SELECT row_id, micros AS utc_micros FROM inst JOIN interim USING (row_id) WHERE micros IS NOT NULL AND NOT regexp_matches(interim.date, '{Q.EXACT}')",
         "p4_normalised": f"WITH {INSTANTS} SELECT row_id, micros AS utc_micros, wall FROM inst",
         "url_parts": f"""WITH {Q.url_cte()} SELECT row_id, scheme, host, port, {Q.normalized()} AS url_norm, {Q.url_key()} AS url_key, len(list_filter(string_split(path, '/'), lambda x: x <> ''))::INT AS depth, {Q.domain()} AS domain,
