@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netloom.features.lists import Lists
+from netloom.features.lists import PLATFORMS, Lists
 from netloom.functions import urls as U
 from netloom.plans import sql as Q
 
@@ -88,6 +88,22 @@ NEAR_DUP = """WITH RECURSIVE v AS (SELECT DISTINCT html_simhash AS v FROM interi
     reach AS (SELECT v AS a, v AS b FROM v UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), roots AS (SELECT a, min(b) AS root FROM reach GROUP BY 1) SELECT root, count(*) AS n_values FROM roots GROUP BY 1"""
 
 
+def list_zones(platforms: tuple[str, ...], least: int = 3, share: float = 0.5) -> str:
+    """Hosting zones: domains whose phishing spreads over many children or paths, and the children of the others."""
+    tenants = lambda n, u: f"{n} >= {least} AND {n} / {u}::DOUBLE >= {share}"
+    return rf"""WITH {LIST_PARTS}, src AS (SELECT lower(trim(domain, ' ')) AS domain, lower(regexp_replace(source, '[\s]+', '', 'g')) AS source FROM interim WHERE label = 0),
+        known AS (SELECT domain, max(cand) AS cand FROM (SELECT domain, true AS cand FROM src GROUP BY 1 HAVING count(DISTINCT source) >= 2 UNION ALL SELECT unnest([{_NAMES(platforms)}]), false) GROUP BY 1),
+        p AS (SELECT host, {Q.domain("host")} AS domain, list_filter(string_split(lower(path), '/'), lambda x: x <> '')[1:2] AS segs FROM lp WHERE label = 1 AND url IS NOT NULL),
+        j AS (SELECT p.*, cand FROM p JOIN known USING (domain)),
+        ch AS (SELECT domain, string_split(substr(host, 1, length(host) - length(domain) - 1), '.')[-1] AS child, count(*) AS u FROM j WHERE cand AND ends_with(host, '.' || domain) GROUP BY 1, 2),
+        subs AS (SELECT domain, sum(u)::BIGINT AS n_urls FROM ch GROUP BY 1 HAVING {tenants("count(*)", "sum(u)")}),
+        gen AS (SELECT host, segs[1] AS first FROM j WHERE len(segs) > 1 GROUP BY 1, 2 HAVING count(DISTINCT segs[2]) >= {least}),
+        pre AS (SELECT j.host, j.domain, CASE WHEN gen.host IS NOT NULL AND len(segs) > 1 THEN array_to_string(segs, '/') ELSE segs[1] END AS t, cand FROM j LEFT JOIN gen ON gen.host = j.host AND gen.first = segs[1] WHERE len(segs) > 0),
+        per AS (SELECT host, domain, count(DISTINCT t) AS n, count(*) AS u, bool_or(cand) AS cand FROM pre GROUP BY 1, 2 HAVING {tenants("count(DISTINCT t)", "count(*)")}),
+        opened AS (SELECT domain AS zone, 'sub' AS how, n_urls FROM subs UNION ALL SELECT domain, 'path', u FROM per WHERE cand AND host = domain AND domain NOT IN (SELECT domain FROM subs))
+        SELECT zone, how, n_urls FROM opened UNION ALL SELECT child || '.' || domain, 'child', u FROM ch WHERE domain NOT IN (SELECT zone FROM opened)"""
+
+
 def verdict_combined(flags: tuple[str, ...], picture_min: float) -> str:
     """The layers one after another, each a step on the verdict before."""
     h = lambda n: f"(row_id * {2 * n + 3}) % {n + 5}"
@@ -148,4 +164,5 @@ def texts(parse: str, flags: tuple[str, ...], picture_min: float) -> dict[str, s
     return {
         "url_hashes": URL_HASHES, "url_expressions": URL_EXPRESSIONS, "host_signal_table": signal_table(), "host_risk_table": RISK_TABLE, "source_projection": SOURCE_PROJECTION,
         "features_domain_registration": REGISTRATION, "corpus_source_weights": SOURCE_WEIGHTS, "deep_urls": DEEP_URLS, "near_dup_clusters": NEAR_DUP, "verdict_combined": verdict_combined(flags, picture_min),
+        "list_zones": list_zones(PLATFORMS),
     } | features(parse)
