@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netloom.features.lists import PLATFORMS, Lists
+from netloom.features.lists import PLATFORMS, SHORTENERS, Lists
 from netloom.functions import urls as U
 from netloom.plans import sql as Q
 
@@ -104,6 +104,54 @@ def list_zones(platforms: tuple[str, ...], least: int = 3, share: float = 0.5) -
         SELECT zone, how, n_urls FROM opened UNION ALL SELECT child || '.' || domain, 'child', u FROM ch WHERE domain NOT IN (SELECT zone FROM opened)"""
 
 
+def _lists(platforms: tuple[str, ...], shorteners: tuple[str, ...], least: int = 3, share: float = 0.5) -> str:
+    """CTEs up to ``built`` (list, entry): zones, tenants and keys of the hashed lists."""
+    tenants = lambda n, u: f"{n} >= {least} AND {n} / {u}::DOUBLE >= {share}"
+    private = (*U.SUFFIXES, *U.PRIVATE_SUFFIXES)
+    site = lambda h: f"({Q.domain(h, private)})"
+    tenant = lambda h, d: f"CASE WHEN {site(h)} <> ({Q.domain(h)}) AND {h} NOT IN ({_NAMES(U.PRIVATE_SUFFIXES)}) THEN {site(h)} ELSE string_split(substr({h}, 1, length({h}) - length({d}) - 1), '.')[-1] || '.' || {d} END"
+    return rf"""{LIST_PARTS}, src AS (SELECT lower(trim(domain, ' ')) AS domain, lower(regexp_replace(source, '[\s]+', '', 'g')) AS source FROM interim WHERE label = 0),
+        plat AS (SELECT unnest([{_NAMES(platforms)}]) AS domain), allow_ AS (SELECT domain FROM src WHERE domain <> '' AND domain NOT IN ({_NAMES(shorteners)}) GROUP BY 1 HAVING count(DISTINCT source) >= 2),
+        known AS (SELECT domain, true AS cand FROM allow_ WHERE domain NOT IN (SELECT domain FROM plat) UNION ALL SELECT domain, false FROM plat),
+        b AS (SELECT url, host, port, path, query, {Q.domain("host")} AS domain FROM lp WHERE label = 1 AND url IS NOT NULL),
+        j AS (SELECT host, b.domain, cand, list_filter(string_split(lower(path), '/'), lambda x: x <> '')[1:2] AS segs FROM b JOIN known ON b.domain = known.domain),
+        below AS (SELECT * FROM j WHERE ends_with(host, '.' || domain)), st AS (SELECT domain, {tenant("host", "domain")} AS t, count(*) AS u FROM below GROUP BY 1, 2),
+        tdom AS (SELECT domain FROM st GROUP BY 1 HAVING {tenants("count(*)", "sum(u)")}),
+        ch AS (SELECT domain, string_split(substr(host, 1, length(host) - length(domain) - 1), '.')[-1] AS child, count(*) AS u FROM below WHERE cand GROUP BY 1, 2),
+        subs AS (SELECT domain, sum(u)::BIGINT AS n_urls FROM ch GROUP BY 1 HAVING {tenants("count(*)", "sum(u)")}),
+        gen AS (SELECT host, segs[1] AS first FROM j WHERE len(segs) > 1 GROUP BY 1, 2 HAVING count(DISTINCT segs[2]) >= {least}),
+        pre AS (SELECT j.host, j.domain, CASE WHEN gen.host IS NOT NULL AND len(segs) > 1 THEN array_to_string(segs, '/') ELSE segs[1] END AS t, cand FROM j LEFT JOIN gen ON gen.host = j.host AND gen.first = segs[1] WHERE len(segs) > 0),
+        per AS (SELECT host, domain, count(*) AS u, bool_or(cand) AS cand FROM pre GROUP BY 1, 2 HAVING {tenants("count(DISTINCT t)", "count(*)")}),
+        phost AS (SELECT per.host, list(gen.first) FILTER (gen.first IS NOT NULL) AS generic FROM per LEFT JOIN gen USING (host) GROUP BY 1),
+        opened AS (SELECT domain AS zone, 'sub' AS how, n_urls FROM subs UNION ALL SELECT domain, 'path', u FROM per WHERE cand AND host = domain AND domain NOT IN (SELECT domain FROM subs)),
+        zones AS (SELECT * FROM opened UNION ALL SELECT child || '.' || domain, 'child', u FROM ch WHERE domain NOT IN (SELECT zone FROM opened)),
+        prot AS (SELECT domain AS key FROM allow_ UNION SELECT domain FROM plat UNION SELECT zone FROM zones WHERE NOT (how = 'child' AND n_urls = 1)),
+        bu AS (SELECT DISTINCT * FROM b WHERE domain <> ''), up AS (SELECT DISTINCT host, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS zone FROM lp WHERE host IS NOT NULL),
+        zhost AS (SELECT DISTINCT host FROM up WHERE zone IN (SELECT zone FROM zones)),
+        bm AS (SELECT bu.*, bu.domain IN (SELECT domain FROM allow_) OR bu.domain IN (SELECT domain FROM plat) OR host IN (SELECT host FROM zhost) AS fine FROM bu), plain AS (SELECT DISTINCT domain FROM bm WHERE NOT fine),
+        k0 AS (SELECT bm.*, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, phost.host IS NOT NULL AS is_ph, coalesce(generic, []) AS generic, CASE WHEN bm.domain IN (SELECT domain FROM tdom) AND bm.host <> bm.domain THEN {tenant("bm.host", "bm.domain")} ELSE '' END AS sub0 FROM bm LEFT JOIN phost ON phost.host = bm.host WHERE fine),
+        k1 AS (SELECT *, CASE WHEN sub0 IN (SELECT host FROM phost) OR sub0 IN (SELECT key FROM prot) THEN '' ELSE sub0 END AS sub, CASE WHEN is_ph AND len(segs) > 0 THEN host || port || '/' || array_to_string(segs[1:CASE WHEN list_contains(generic, lower(segs[1])) AND len(segs) > 1 THEN 2 ELSE 1 END], '/') ELSE '' END AS by_path FROM k0),
+        k2 AS (SELECT *, CASE WHEN sub <> '' THEN sub ELSE by_path END AS tenant FROM k1),
+        keys AS (SELECT DISTINCT unnest([host || port || path || query, tenant, CASE WHEN query <> '' AND (tenant <> '' OR len(list_filter(segs, lambda x: length(x) >= 16)) > 0) THEN host || port || path ELSE '' END]) AS key FROM k2),
+        built AS (SELECT DISTINCT 'block_domain' AS list, substr(sha256(domain), 1, 16) AS entry FROM plain UNION ALL SELECT DISTINCT 'block_url', substr(sha256(key), 1, 16) FROM keys WHERE key <> '' AND key NOT IN (SELECT key FROM prot)
+            UNION ALL SELECT DISTINCT 'allow', substr(sha256(domain), 1, 16) FROM allow_ WHERE domain NOT IN (SELECT domain FROM plat) AND domain NOT IN (SELECT zone FROM zones) AND domain NOT IN (SELECT domain FROM plain) UNION ALL SELECT DISTINCT 'open', zone FROM zones)"""
+
+
+def hashed_lists(platforms: tuple[str, ...], shorteners: tuple[str, ...]) -> dict[str, str]:
+    built = _lists(platforms, shorteners)
+    has = lambda name, x: f"substr(sha256({x}), 1, 16) IN (SELECT entry FROM built WHERE list = '{name}')"
+    expressions = URL_EXPRESSIONS.split(LIST_PARTS, 1)[1].replace("SELECT DISTINCT row_id, host || path AS expression FROM h JOIN k USING (row_id)", "").lstrip(",")
+    lookup = f"""WITH {built}, {expressions.rstrip().rstrip(",")}, hit AS (SELECT DISTINCT row_id FROM h JOIN k USING (row_id) WHERE {has("block_url", "h.host || k.path")}),
+        r AS (SELECT row_id, {Q.domain("host")} AS domain, coalesce(host IN (SELECT host FROM zhost), false) AS z FROM lp)
+        SELECT row_id, CASE WHEN row_id IN (SELECT row_id FROM hit) THEN 'url' WHEN {has("block_domain", "domain")} THEN 'domain' END AS blocked, coalesce({has("allow", "domain")}, false) AND NOT z AS allow,
+            z OR coalesce(domain IN (SELECT domain FROM plat), false) AS shared, coalesce(domain IN ({_NAMES(shorteners)}), false) AS shortener FROM r"""
+    return {
+        "list_build": f"WITH {built} SELECT list, entry FROM built",
+        "list_delta": f"WITH {built} SELECT list, 'add' AS op, entry FROM built WHERE entry > '4' AND NOT entry < '8' UNION ALL SELECT list, 'del', entry FROM built WHERE entry < '8' AND NOT entry > '4'",
+        "list_lookup": lookup,
+    }
+
+
 def verdict_combined(flags: tuple[str, ...], picture_min: float) -> str:
     """The layers one after another, each a step on the verdict before."""
     h = lambda n: f"(row_id * {2 * n + 3}) % {n + 5}"
@@ -165,4 +213,4 @@ def texts(parse: str, flags: tuple[str, ...], picture_min: float) -> dict[str, s
         "url_hashes": URL_HASHES, "url_expressions": URL_EXPRESSIONS, "host_signal_table": signal_table(), "host_risk_table": RISK_TABLE, "source_projection": SOURCE_PROJECTION,
         "features_domain_registration": REGISTRATION, "corpus_source_weights": SOURCE_WEIGHTS, "deep_urls": DEEP_URLS, "near_dup_clusters": NEAR_DUP, "verdict_combined": verdict_combined(flags, picture_min),
         "list_zones": list_zones(PLATFORMS),
-    } | features(parse)
+    } | hashed_lists(PLATFORMS, SHORTENERS) | features(parse)
