@@ -298,7 +298,7 @@ def oracle_sql() -> dict[str, str]:
     days = lambda a, b: f"(epoch_us({a}) - epoch_us({b})) / 8.64e10"
     curve = f"""WITH {SCORED}, g AS (SELECT source, score, count(*) FILTER (label = 0) AS neg, count(*) FILTER (label = 1) AS pos FROM s GROUP BY 1, 2),
         r AS (SELECT *, sum(neg) OVER w AS fp, sum(pos) OVER w AS tp, sum(neg) OVER (PARTITION BY source) AS nn, sum(pos) OVER (PARTITION BY source) AS np FROM g WINDOW w AS (PARTITION BY source ORDER BY score DESC))"""
-    more = sql_more.texts(A_PARSE, verdict.FLAGS, verdict.PICTURE_MIN_PROB)
+    more = sql_more.texts(A_PARSE, verdict.FLAGS, verdict.PICTURE_MIN_PROB, PRIO)
     groups = [_sql_lengths(), _sql_counts(), _sql_ratios(), _sql_host_form(), _sql_words(), _sql_other(), *[more[f"features_url_{g}"] for g in ("obfuscation", "randomness", "squatting")]]
     every = "SELECT * FROM " + " JOIN ".join(f"({g}) g{i}" + (" USING (row_id)" if i else "") for i, g in enumerate(groups))
     return more | {"features_url_all": every} | reports.oracle_sql(SCORED) | {

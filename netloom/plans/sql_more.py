@@ -14,6 +14,14 @@ _SINGLE = lambda c: f"array_to_string(list_transform(string_split({c}, ''), lamb
 _ENTROPY = lambda c: f"""CASE WHEN length({c}) > 0 THEN -list_sum(list_transform(list_sort(list_distinct(string_split({c}, ''))), lambda x: ((length({c}) - length(replace({c}, x, ''))) / length({c})::DOUBLE) * log2((length({c}) - length(replace({c}, x, ''))) / length({c})::DOUBLE))) END"""
 
 
+def near_dup_pages(priority: str) -> str:
+    """Per label, the first row of each cluster of close simhashes, and the rows without one."""
+    return f"""WITH RECURSIVE {Q.CORPUS}, v AS (SELECT DISTINCT html_simhash AS v, label FROM c WHERE html_simhash IS NOT NULL), e AS (SELECT a.v AS a, b.v AS b, a.label FROM v a JOIN v b ON a.label = b.label AND a.v <> b.v AND bit_count(xor(a.v, b.v)) <= 3),
+        reach AS (SELECT v AS a, v AS b, label FROM v UNION SELECT reach.a, e.b, e.label FROM reach JOIN e ON reach.b = e.a AND reach.label = e.label), roots AS (SELECT a, label, min(b) AS root FROM reach GROUP BY 1, 2),
+        o AS (SELECT uid, row_number() OVER (PARTITION BY c.label, root ORDER BY us NULLS LAST, {priority}, uid) AS rn FROM c JOIN roots ON roots.a = html_simhash AND roots.label = c.label)
+        SELECT uid FROM c WHERE html_simhash IS NULL UNION ALL SELECT uid FROM o WHERE rn = 1"""
+
+
 def skeleton(c: str) -> str:
     out = f"translate({c}, '{U.HOMOGLYPHS[0]}', '{U.HOMOGLYPHS[1]}')"
     for pair, letter in U.HOMOGLYPH_PAIRS:
@@ -208,8 +216,9 @@ def features(parse: str) -> dict[str, str]:
     return {"features_url_obfuscation": obfuscation, "features_url_randomness": randomness, "features_url_squatting": squatting, "features_url_fitted": fitted}
 
 
-def texts(parse: str, flags: tuple[str, ...], picture_min: float) -> dict[str, str]:
+def texts(parse: str, flags: tuple[str, ...], picture_min: float, priority: str) -> dict[str, str]:
     return {
+        "corpus_near_dup": near_dup_pages(priority),
         "url_hashes": URL_HASHES, "url_expressions": URL_EXPRESSIONS, "host_signal_table": signal_table(), "host_risk_table": RISK_TABLE, "source_projection": SOURCE_PROJECTION,
         "features_domain_registration": REGISTRATION, "corpus_source_weights": SOURCE_WEIGHTS, "deep_urls": DEEP_URLS, "near_dup_clusters": NEAR_DUP, "verdict_combined": verdict_combined(flags, picture_min),
         "list_zones": list_zones(PLATFORMS),
