@@ -20,9 +20,13 @@ from netloom.plans.stages import let, once
 BLOCKS = ((0, 4), (4_000_000, 5), (100_000_000, 6))
 
 
-def visible_tokens(html: Column, most: int = 200_000) -> Column:
-    """Lower-case words of a page without scripts and styles; entities of markup are unescaped."""
-    t = F.regexp_replace(F.substring(html, 1, most), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
+def visible_tokens(html: Column, most: int | None = None) -> Column:
+    """Lower-case words of a page without scripts and styles; entities of markup are unescaped.
+
+    The whole page counts; ``most`` cuts it to so many characters, for hashes
+    that must equal ones made with such a cut.
+    """
+    t = F.regexp_replace(html if most is None else F.substring(html, 1, most), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
     t = F.regexp_replace(t, "<[^>]+>", " ")
     for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#0?39;|&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         t = F.regexp_replace(t, name, ch)
@@ -52,9 +56,9 @@ def simhash(lists: pd.Series) -> pd.Series:
     return lists.map(one).astype("Int64")
 
 
-def with_simhash(df: DataFrame, html: str = "html", name: str = "html_simhash", min_tokens: int = 50, size: int = 5) -> DataFrame:
+def with_simhash(df: DataFrame, html: str = "html", name: str = "html_simhash", min_tokens: int = 50, size: int = 5, most: int | None = None) -> DataFrame:
     """``df`` with the simhash of each page, null below ``min_tokens`` visible words."""
-    d = once(df, _tokens=visible_tokens(F.col(html)))
+    d = once(df, _tokens=visible_tokens(F.col(html), most))
     d = once(d, _shingles=F.when(F.size("_tokens") >= min_tokens, shingles(F.col("_tokens"), size)))
     return d.withColumn(name, simhash(F.col("_shingles"))).drop("_tokens", "_shingles")
 
