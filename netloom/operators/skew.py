@@ -32,15 +32,18 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> li
     return [tuple(r)[:-1] for r in found.collect()]
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hot: list[tuple] | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hot: list[tuple] | None = None, hint: str | None = None) -> DataFrame:
     """Equi-join where the rows of ``left`` with a hot key are spread over ``SALTS`` tasks.
 
     ``right`` rows with such a key are repeated once per salt; all others move
     as in a plain join.  ``how`` may be inner, left, left_semi or left_anti.
+    ``hint`` is the join hint of ``right``, such as merge where its columns are
+    wider than the planner can tell, so that it would be broadcast.
     """
+    hinted = lambda d: d.hint(hint) if hint else d
     hot = hot_keys(left, keys) if hot is None else hot
     if not hot:
-        return left.join(right, list(keys), how)
+        return left.join(hinted(right), list(keys), how)
     spark = left.sparkSession
     schema = T.StructType([left.schema[k] for k in keys])
     flags = F.broadcast(spark.createDataFrame(hot, schema).withColumn("_hot", F.lit(True)))
@@ -48,4 +51,4 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     a = left.join(flags, list(keys), "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
     b = right.join(flags, list(keys), "left")
     b = b.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+    return a.join(hinted(b), [*keys, "_salt"], how).drop("_salt")

@@ -84,9 +84,9 @@ def boot_cuts(cal: DataFrame, targets: Sequence[float], n_boot: int = 200, seed:
     neg = materialise(cal.where("label = 0").groupBy("source", domain.alias("domain"), "score").agg(F.count("*").alias("n")), "boot-cells")
 
     def count(u: Column) -> Column:
-        out, edge, p = F.lit(0), 0.36787944117144233, 0.36787944117144233
+        out, edge, p = F.lit(0).cast("byte"), 0.36787944117144233, 0.36787944117144233
         for k in range(1, 8):
-            out = F.when(u >= edge, F.lit(k)).otherwise(out)
+            out = F.when(u >= edge, F.lit(k).cast("byte")).otherwise(out)
             p /= k
             edge += p
         return out
@@ -94,7 +94,8 @@ def boot_cuts(cal: DataFrame, targets: Sequence[float], n_boot: int = 200, seed:
     # one hash a domain and replicate, whatever the number of its scores
     draws = once(neg.select("domain").distinct(), us=F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda b: unit_hash(F.col("domain"), b + F.lit(seed * 1000))))
     draws = draws.select("domain", F.transform("us", count).alias("draws"))
-    drawn = salted_join(neg, draws, ["domain"]).select("source", "score", "n", F.posexplode("draws").alias("b", "k")).where("k > 0")
+    # the planner takes an array of all replicates for one number and would broadcast them: never through the driver
+    drawn = salted_join(neg, draws, ["domain"], hint="merge").select("source", "score", "n", F.posexplode("draws").alias("b", "k")).where("k > 0")
     weights = materialise(drawn.groupBy("source", "b", "score").agg(F.sum(F.col("n") * F.col("k")).cast("double").alias("w")).withColumn("label", F.lit(0)), "boot-negatives")
     c = M.curve(weights, ["source", "b"], "w")
     over = lambda t: F.col("fp") > F.lit(t) * F.col("n_neg") + 1e-9 * F.greatest(F.col("n_neg"), F.lit(1.0))

@@ -16,6 +16,7 @@ from netloom.features.lists import Lists
 from netloom.functions import urls as U
 from netloom.functions import idna
 from netloom.operators import attacks, corpus, dedup, graph, lists, metrics, positions, skew, splits, thresholds, verdict
+from netloom.plans.materialise import materialise
 from netloom.schema import SchemaError, label_of, validate
 from netloom.streaming import index
 
@@ -300,3 +301,21 @@ def test_bootstrap_rule_of_all_replicates(spark):
     for target in (0.1, 0.05):
         upper = [sorted(threshold(weighed(s, b), target) for b in range(200))[math.ceil(0.95 * 199)] for s in "ab"]
         assert got[target] == max([*upper, threshold(weighed(""), target)])
+
+
+def test_draws_of_all_domains_are_never_broadcast(spark, monkeypatch):
+    plans = {}
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return materialise(df, name)
+
+    monkeypatch.setattr(thresholds, "materialise", watched)
+    for n in (400, 12_000):  # the second has a hot domain
+        cal = spark.range(n).selectExpr("'a' AS source", f"CASE WHEN {n} > 10000 THEN 'd' ELSE concat('d', id % 97) END AS domain", "0 AS label", "id / 20000D AS score")
+        cuts = thresholds.boot_cuts(cal, [0.1], 5)
+        assert len(cuts[("a", 0.1)]) == (5 if n < 10_000 else sum(1 for b in range(5) if int(hashlib.md5(f"{7000 + b}|d".encode()).hexdigest()[:8], 16) / 2**32 >= math.exp(-1)))
+        join = plans["boot-negatives"]
+        assert "SortMergeJoin" in join
+        # hot keys alone may be
+        assert join.count("BroadcastHashJoin") == (0 if n < 10_000 else 2)
