@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,58 +18,102 @@ from netloom.plans.materialise import materialise
 from netloom.plans.stages import once
 
 
-class Curves:
-    """The curves that the rules of every target are read from, each written once: of all rows, of each source, of sources that weigh alike, of each source's negatives against all positives."""
+class Cuts:
+    """What the rules of every target are read from: totals of each source, and of each set of negatives the highest score with too many at or above it.
+
+    The sets are all rows, each source, and sources that weigh alike.  A cut is
+    a number for each set and target, so the rules themselves are arithmetic on
+    a few numbers: the thresholds are the lowest positives above the cuts.
+    Rows without a source count in the pooled set alone.
+    """
+
+    def __init__(self, cal: DataFrame, targets: Sequence[float], confidence: float = 0.95, balance_negatives: int = 100) -> None:
+        spark = cal.sparkSession
+        self.cal, self.targets = cal, list(targets)
+        self.counts = materialise(cal.where("label IN (0, 1)").groupBy("source", "label", "score").agg(F.count("*").cast("double").alias("n")), "rule-counts")
+        totals = {(r["source"], r["label"]): int(r["n"]) for r in self.counts.groupBy("source", "label").agg(F.sum("n").alias("n")).collect()}
+        self.n_neg, self.n_pos = (sum(n for (_, y), n in totals.items() if y == label) for label in (0, 1))
+        self.negatives, self.positives = ({s: n for (s, y), n in totals.items() if y == label and s is not None} for label in (0, 1))
+        self.balanced = sorted(s for s, n in self.negatives.items() if n >= balance_negatives)
+        #: Most false positives that certify each set (a source, or None for all) and target; -1 if none may be.
+        self.allowed = {(s, t): M.max_false_positives(n, t, confidence) if n else -1 for s, n in [(None, self.n_neg), *self.negatives.items()] for t in targets}
 
-    def __init__(self, cal: DataFrame, balance_negatives: int = 100) -> None:
-        self.cal = cal
-        self.whole = materialise(M.curve(cal), "curve-whole")
-        self.each = materialise(M.curve(cal, ["source"]), "curve-each")
-        counts = {r["source"]: r["n"] for r in cal.where("label = 0").groupBy("source").agg(F.count("*").alias("n")).collect()}
-        self.negatives: dict[str, int] = counts
-        self.balanced = sorted(s for s, n in counts.items() if n >= balance_negatives)
         # sources are a handful
-        weight = F.lit(1.0) if not self.balanced else F.lit(0.0)
+        weight = F.lit(0.0)
         for name in self.balanced:
-            weight = F.when(F.col("source") == name, F.lit(1.0 / counts[name])).otherwise(weight)
-        self.alike = materialise(M.curve(cal.withColumn("weight", weight), (), "weight"), "curve-alike")
-        pos = cal.where("label = 1").groupBy("score").agg(F.count("*").cast("double").alias("w"))
-        neg = cal.where("label = 0").groupBy("source", "score").agg(F.count("*").cast("double").alias("w")).select(F.col("source").alias("set_by"), "score", F.lit(0).alias("label"), "w")
-        neg = neg.unionByName(neg.groupBy(F.lit("pooled").alias("set_by"), "score", "label").agg(F.sum("w").alias("w")))
-        every = F.array(*[F.lit(n) for n in ["pooled", *sorted(counts)]])
-        self.certified = materialise(M.curve(neg.unionByName(pos.select(F.explode(every).alias("set_by"), "score", F.lit(1).alias("label"), "w")), ["set_by"], "w"), "curve-certified")
+            weight = F.when(F.col("source") == name, F.lit(1.0 / self.negatives[name])).otherwise(weight)
+        sets = F.array(F.struct(F.lit("pooled").alias("set_by"), F.col("n").alias("w")), F.struct(F.lit("alike").alias("set_by"), (F.col("n") * weight).alias("w")), F.struct(F.concat(F.lit("source "), "source").alias("set_by"), F.col("n").alias("w")))
+        neg = self.counts.where("label = 0").select("label", "score", F.explode(sets).alias("s")).select("label", "score", "s.*").where("set_by is not null and w > 0")
+        limits = spark.createDataFrame([("pooled" if s is None else f"source {s}", [self.allowed[s, t] for t in targets]) for s in [None, *self.negatives]], "set_by string, most array<int>")
+        over = [(F.max(F.when(_too_many(t), F.col("score"))).alias(f"p{i}"), F.max(F.when(F.col("fp") > F.col("most")[i], F.col("score"))).alias(f"c{i}")) for i, t in enumerate(targets)]
+        found = M.curve(neg, ["set_by"], "w").join(F.broadcast(limits), "set_by", "left").groupBy("set_by").agg(*[x for pair in over for x in pair]).collect()
+        at = {r["set_by"]: r for r in found}
+        of = lambda name, column: at[name][column] if name in at else None
+        key = lambda s: "pooled" if s is None else f"source {s}"
+        #: The cut of each set and target for its rate, and for its certified rate.
+        self.rate = {(s, t): of(key(s), f"p{i}") for s in [None, *self.negatives] for i, t in enumerate(targets)}
+        self.certified = {(s, t): of(key(s), f"c{i}") for s in [None, *self.negatives] for i, t in enumerate(targets)}
+        alike = {t: of("alike", f"p{i}") for i, t in enumerate(targets)}
+
+        # of the positives of one source, or of those that weigh alike
+        own = [(s, f"source {s}", i, self.rate[s, t]) for s in self.negatives for i, t in enumerate(targets)] + [(s, "alike", i, alike[t]) for s in self.balanced for i, t in enumerate(targets)]
+        need = F.broadcast(spark.createDataFrame(own, "source string, set_by string, i int, cut double"))
+        lows = self.counts.where("label = 1").join(need, "source").where("cut is null or score > cut").groupBy("set_by", "i").agg(F.min("score").alias("low")).collect()
+        self.low = {(r["set_by"], targets[r["i"]]): r["low"] for r in lows if r["low"] is not None}
+
+        #: The lowest positive of all above a cut; more cuts are added by :meth:`place`.
+        self.above: dict[float | None, float] = {}
+
+    def place(self, cuts: Sequence[float | None] = ()) -> None:
+        """Find the lowest positives above the cuts, those of this object among them, in one pass."""
+        every = {*cuts, *self.rate.values(), *self.certified.values()}
+        self.above = first_above(self.counts.where("label = 1 and score is not null").select("score").distinct(), [x for x in every if x is not None])
+
+    def granular(self, source: str, target: float, min_negatives: int) -> bool:
+        """Whether the target allows a source too few false positives."""
+        return math.floor(target * float(self.negatives[source])) < min_negatives
+
 
+def _too_many(target: float) -> Column:
+    return F.col("fp") > F.lit(target) * F.col("n_neg") + 1e-9 * F.greatest(F.col("n_neg"), F.lit(1.0))
 
-def pooled(c: Curves, target: float) -> DataFrame:
-    return M.point(c.whole, target).select(F.lit("pooled").alias("rule"), "threshold", F.lit("pooled").alias("set_by"))
 
+#: A threshold, null where it isn't defined, and what it was set by.
+Set = tuple[float | None, str]
 
-def by_source(c: Curves, target: float, min_negatives: int = 10) -> DataFrame:
-    """(source, threshold) of each source with both classes and enough negatives."""
-    return M.point(c.each, target, ["source"], min_negatives).where("threshold is not null and not granularity_limited").select("source", "threshold")
 
+def _highest(sets: Sequence[Set]) -> Set:
+    return max(sets, key=lambda x: (x[0] is not None, x[0] or 0.0, x[1]))
 
-def worst_source(c: Curves, target: float, min_negatives: int = 10) -> DataFrame:
-    """The highest of the pooled and the sources' own thresholds."""
-    every = by_source(c, target, min_negatives).select("threshold", F.col("source").alias("set_by")).unionByName(pooled(c, target).select("threshold", "set_by"))
-    best = F.max(F.struct("threshold", (F.col("set_by") == "pooled").alias("p"), "set_by"))
-    return every.agg(best.alias("b")).select(F.lit("worst_source").alias("rule"), "b.threshold", "b.set_by")
 
+def pooled(c: Cuts, target: float) -> Set:
+    return (c.above[c.rate[None, target]] if c.n_neg and c.n_pos else None), "pooled"
 
-def balanced(c: Curves, target: float) -> DataFrame:
+
+def by_source(c: Cuts, target: float, min_negatives: int = 10) -> list[Set]:
+    """The threshold of each source with both classes and enough negatives."""
+    return [(c.low.get((f"source {s}", target), M.NO_ALARM), s) for s in c.negatives if c.positives.get(s) and not c.granular(s, target, min_negatives)]
+
+
+def worst_source(c: Cuts, target: float, min_negatives: int = 10) -> Set:
+    """The highest of the pooled and the sources' own thresholds; the pooled one if they tie."""
+    best, whole = _highest([(None, ""), *by_source(c, target, min_negatives)]), pooled(c, target)
+    return best if best[0] is not None and (whole[0] is None or best[0] > whole[0]) else whole
+
+
+def balanced(c: Cuts, target: float) -> Set:
     """Each source with enough negatives weighs the same; without any, the pooled rule."""
-    set_by = ",".join(c.balanced) if c.balanced else "pooled (no source eligible)"
-    return M.point(c.alike, target).select(F.lit("balanced").alias("rule"), "threshold", F.lit(set_by).alias("set_by"))
+    if not c.balanced:
+        return pooled(c, target)[0], "pooled (no source eligible)"
+    both = any(c.positives.get(s) for s in c.balanced)
+    return (c.low.get(("alike", target), M.NO_ALARM) if both else None), ",".join(c.balanced)
 
 
-def ucb_binom(c: Curves, target: float, confidence: float = 0.95) -> DataFrame:
+def ucb_binom(c: Cuts, target: float) -> Set:
     """The highest threshold with as few false positives as the bound allows, of any source or all, over all positives."""
-    allowed = [(s, M.max_false_positives(n, target, confidence)) for s, n in c.negatives.items()] + [("pooled", M.max_false_positives(sum(c.negatives.values()), target, confidence))]
-    table = c.cal.sparkSession.createDataFrame(allowed, "set_by string, k int").where("k >= 0")
-    ok = (F.col("fp") <= F.col("k")) & (F.col("tp") > 0)
-    own = c.certified.join(F.broadcast(table), "set_by").groupBy("set_by").agg(F.coalesce(F.max(F.when(ok, F.struct("tp", "score")))["score"], F.lit(M.NO_ALARM)).alias("threshold"))
-    out = own.agg(F.max(F.struct("threshold", "set_by")).alias("b")).select("b.*")
-    return out.select(F.lit("ucb_binom").alias("rule"), F.coalesce("threshold", F.lit(M.NO_ALARM)).alias("threshold"), F.when(F.col("threshold") < M.NO_ALARM, F.col("set_by")).otherwise("uncertifiable (cal too small)").alias("set_by"))
+    sets = [(c.above[c.certified[s, target]], "pooled" if s is None else s) for s in [None, *c.negatives] if c.allowed[s, target] >= 0]
+    best = _highest(sets) if sets else (M.NO_ALARM, "")
+    return best if best[0] < M.NO_ALARM else (M.NO_ALARM, "uncertifiable (cal too small)")
 
 
 def boot_cuts(cal: DataFrame, targets: Sequence[float], n_boot: int = 200, seed: int = 7) -> dict[tuple[str, float], list[float | None]]:
@@ -80,6 +124,7 @@ def boot_cuts(cal: DataFrame, targets: Sequence[float], n_boot: int = 200, seed:
     source, domain and score before replicates are drawn; what comes back is a
     number for each source, replicate and target.
     """
+    targets = list(dict.fromkeys(targets))
     domain = F.coalesce("domain", F.lit(""))
     neg = materialise(cal.where("label = 0").groupBy("source", domain.alias("domain"), "score").agg(F.count("*").alias("n")), "boot-cells")
 
@@ -96,11 +141,16 @@ def boot_cuts(cal: DataFrame, targets: Sequence[float], n_boot: int = 200, seed:
     draws = draws.select("domain", F.transform("us", count).alias("draws"))
     # the planner takes an array of all replicates for one number and would broadcast them: never through the driver
     drawn = salted_join(neg, draws, ["domain"], hint="merge").select("source", "score", "n", F.posexplode("draws").alias("b", "k")).where("k > 0")
-    weights = materialise(drawn.groupBy("source", "b", "score").agg(F.sum(F.col("n") * F.col("k")).cast("double").alias("w")).withColumn("label", F.lit(0)), "boot-negatives")
-    c = M.curve(weights, ["source", "b"], "w")
-    over = lambda t: F.col("fp") > F.lit(t) * F.col("n_neg") + 1e-9 * F.greatest(F.col("n_neg"), F.lit(1.0))
-    rows = c.groupBy("source", "b").agg(*[F.max(F.when(over(t), F.col("score"))).alias(f"c{i}") for i, t in enumerate(targets)]).collect()
-    return {(s, t): [r[f"c{i}"] for r in rows if r["source"] == s] for s in {r["source"] for r in rows} for i, t in enumerate(targets)}
+    weights = materialise(drawn.groupBy("source", "b", "score").agg(F.sum(F.col("n") * F.col("k")).cast("double").alias("w")), "boot-negatives")
+    # a replicate of a source is one window: nothing of each replicate and slice of scores is sent to the driver
+    whole = Window.partitionBy("source", "b")
+    down = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = weights.withColumns({"fp": F.sum("w").over(down), "n_neg": F.sum("w").over(whole)})
+    out: dict[tuple[str, float], list[float | None]] = {}
+    for r in c.groupBy("source", "b").agg(*[F.max(F.when(_too_many(t), F.col("score"))).alias(f"c{i}") for i, t in enumerate(targets)]).collect():
+        for i, t in enumerate(targets):
+            out.setdefault((r["source"], t), []).append(r[f"c{i}"])
+    return out
 
 
 def first_above(positives: DataFrame, cuts: Sequence[float]) -> dict[float | None, float]:
@@ -120,34 +170,27 @@ def first_above(positives: DataFrame, cuts: Sequence[float]) -> dict[float | Non
     return out
 
 
-def ucb_boot(c: Curves, targets: Sequence[float], confidence: float = 0.95, n_boot: int = 200, min_negatives: int = 10, seed: int = 7) -> DataFrame:
-    """(target_fpr, rule, threshold, set_by): per source the upper quantile of the thresholds of its resamples, the highest of them and of the pooled one."""
-    cuts = boot_cuts(c.cal, targets, n_boot, seed)
-    above = first_above(c.cal.where("label = 1").select("score").distinct(), [x for xs in cuts.values() for x in xs if x is not None])
-    upper = []
-    for (source, target), xs in cuts.items():
-        t = sorted(above[x] for x in xs)
-        upper.append((float(target), source, t[min(len(t) - 1, math.ceil(confidence * (len(t) - 1)))]))
-    spark = c.cal.sparkSession
-    own = spark.createDataFrame(upper, "target_fpr double, source string, threshold double")
-    out = None
-    for t in targets:
-        eligible = M.point(c.each, t, ["source"], min_negatives).where("not granularity_limited").select("source")
-        one = own.where(F.col("target_fpr") == t).join(eligible, "source", "left_semi").select("threshold", F.col("source").alias("set_by")).unionByName(pooled(c, t).select("threshold", "set_by"))
-        one = one.agg(F.max(F.struct("threshold", "set_by")).alias("b")).select(F.lit(float(t)).alias("target_fpr"), F.lit("ucb_boot").alias("rule"), "b.threshold", "b.set_by")
-        out = one if out is None else out.unionByName(one)
-    return out
+def ucb_boot(c: Cuts, cuts: dict[tuple[str, float], list[float | None]], target: float, confidence: float = 0.95, min_negatives: int = 10) -> Set:
+    """Per source the upper quantile of the thresholds of its resamples (:func:`boot_cuts`), the highest of them and of the pooled one."""
+    upper = [pooled(c, target)]
+    for (source, t), xs in cuts.items():
+        if t == target and source is not None and not c.granular(source, t, min_negatives):
+            own = sorted(c.above[x] for x in xs)
+            upper.append((own[min(len(own) - 1, math.ceil(confidence * (len(own) - 1)))], source))
+    return _highest(upper)
 
 
 def rules(cal: DataFrame, targets: Sequence[float], min_negatives: int = 10, confidence: float = 0.95, n_boot: int = 200) -> DataFrame:
     """(target_fpr, rule, threshold, set_by) of all five rules."""
-    c = Curves(materialise(cal.select("source", "domain", "label", "score"), "cal"))
-    out = ucb_boot(c, targets, confidence, n_boot, min_negatives)
+    cal = materialise(cal.select("source", "domain", "label", "score"), "cal")
+    c = Cuts(cal, targets, confidence)
+    cuts = boot_cuts(cal, targets, n_boot)
+    c.place([x for xs in cuts.values() for x in xs])
+    out = []
     for t in targets:
-        for one in (pooled(c, t), worst_source(c, t, min_negatives), balanced(c, t), ucb_binom(c, t, confidence)):
-            out = out.unionByName(one.select(F.lit(float(t)).alias("target_fpr"), "rule", "threshold", "set_by"))
-    # a few rows from many small plans
-    return materialise(out.coalesce(1), "rules")
+        found = {"ucb_boot": ucb_boot(c, cuts, t, confidence, min_negatives), "pooled": pooled(c, t), "worst_source": worst_source(c, t, min_negatives), "balanced": balanced(c, t), "ucb_binom": ucb_binom(c, t)}
+        out += [(float(t), rule, *found[rule]) for rule in found]
+    return cal.sparkSession.createDataFrame(out, "target_fpr double, rule string, threshold double, set_by string").coalesce(1)
 
 
 def evaluate_rules(rows: DataFrame, thresholds: DataFrame, confidence: float = 0.95, min_negatives: int = 10) -> DataFrame:

@@ -319,3 +319,40 @@ def test_draws_of_all_domains_are_never_broadcast(spark, monkeypatch):
         assert "SortMergeJoin" in join
         # hot keys alone may be
         assert join.count("BroadcastHashJoin") == (0 if n < 10_000 else 2)
+
+
+def test_rules_send_only_a_few_numbers_through_the_driver(spark, monkeypatch):
+    rng = random.Random(6)
+    cal = [("abc"[i % 3 and 1 + i % 2], f"d{rng.randrange(300)}.test", 0, round(rng.random() + 0.02 * (i % 3), 2)) for i in range(1500)]
+    cal += [("ab"[i % 2], f"p{i}.test", 1, round(0.3 + 0.7 * rng.random(), 2)) for i in range(200)] + [("small", "e.test", 0, 0.99), (None, "n.test", 0, 0.5)]
+    df, kind = spark.createDataFrame(cal, "source string, domain string, label int, score double"), type(spark.range(1))
+    plans, collect = [], kind.collect
+
+    def watched(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(kind, "collect", watched)
+    got = {r.rule: (r.threshold, r.set_by) for r in thresholds.rules(df, [0.1], n_boot=20).collect()}
+    replicates = [p for p in plans if "boot-negatives" in p]
+    assert len(replicates) == 1 and "BroadcastExchange" not in replicates[0]
+    assert sum(p.count("Exchange") for p in plans) < 60
+
+    def lowest(allows, sources=("a", "b", "c", "small", None)):
+        ok = [x for x in sorted({x for s, _, y, x in cal if y and s in sources}) if allows(x)]
+        return ok[0] if ok else metrics.NO_ALARM
+
+    def fp(x, source=""):
+        return sum(z >= x for s, _, y, z in cal if not y and source in ("", s))
+
+    n = {s: fp(-1, s) for s in ["", "a", "b", "c", "small"]}
+    pooled = lowest(lambda x: fp(x) <= 0.1 * n[""])
+    own = {s: lowest(lambda x, s=s: fp(x, s) <= 0.1 * n[s], (s,)) for s in "ab"}
+    most = {s: metrics.max_false_positives(k, 0.1) for s, k in n.items()}
+    assert most["small"] < 0 <= min(most[s] for s in ("", "a", "b", "c"))
+    sure = {s or "pooled": lowest(lambda x, s=s: fp(x, s) <= most[s]) for s in ("", "a", "b", "c")}
+    assert got["pooled"] == (pooled, "pooled")
+    assert got["worst_source"] == max([(pooled, "pooled"), *[(t, s) for s, t in own.items()]], key=lambda x: (x[0], x[1] == "pooled"))
+    assert got["balanced"] == (lowest(lambda x: sum(fp(x, s) / n[s] for s in "abc") <= 0.1 * 3 + 1e-9, ("a", "b", "c")), "a,b,c")
+    assert got["ucb_binom"] == max((t, s) for s, t in sure.items())
+    assert {r.rule: r.set_by for r in thresholds.rules(df.where("label = 1"), [0.1], n_boot=2).collect()}["ucb_binom"] == "uncertifiable (cal too small)"
